@@ -110,13 +110,14 @@ def fingerprint(*parts: Column) -> Column:
 
 def keyed_batches(records: DataFrame, record_id: str, key: Column, at: str, batches: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """(id, key, batch) of all records that have a key, and the same cut by equal spans of ``at``; rows with a null time come with the first batch."""
-    keyed = records.select(F.col(record_id).cast("long").alias("id"), key.alias("key"), F.col(at).cast("double").alias("__at"))
-    span = records.select(F.min(F.col(at).cast("double")), F.max(F.col(at).cast("double"))).first()
+    time = F.unix_micros(F.col(at).cast("timestamp"))  # a timestamp without a zone has no cast to double
+    keyed = records.select(F.col(record_id).cast("long").alias("id"), key.alias("key"), time.alias("__at"))
+    span = records.select(F.min(time), F.max(time)).first()
     if span[0] is None or span[0] == span[1]:
         batch = F.lit(0)
     else:
-        part = F.least(F.lit(batches - 1), F.floor((F.col("__at") - span[0]) / (span[1] - span[0]) * batches))
-        batch = F.coalesce(part, F.lit(0)).cast("int")
+        part = F.floor((F.col("__at") - span[0]) / (span[1] - span[0]) * batches)
+        batch = F.least(F.lit(batches - 1), F.coalesce(part, F.lit(0))).cast("int")  # least() alone would pass over a null
     saved = scratch.save(keyed.where("key is not null").select("id", "key", batch.cast("int").alias("batch")), "keyed", partition_by=["batch"])
     return saved, [saved.where(F.col("batch") == i).select("id", "key") for i in range(batches)]
 
