@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import components, digests, leaks, ledger
+from meshloom.llm import components, digests, leaks, ledger, tokens
 from meshloom.runtime import Scratch, table
 
 # -- p1: groups of matched nodes ---------------------------------------------
@@ -82,6 +82,13 @@ def p4_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_week.unionByName(together)
 
 
+# -- p6: token ids -------------------------------------------------------------
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"))
+
+
 # -- p7: passages of evaluation items in documents ----------------------------
 
 
@@ -90,7 +97,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(documents, items).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p6_ids": p6_ids, "p7_found": p7_found}
 
 # One reading of a record for DuckDB, whose expressions have no look-around: keys are marked first, then cut apart.
 _P2_KEYED = r"""
