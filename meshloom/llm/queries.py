@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import components, digests, leaks, ledger, tokens
+from meshloom.llm import components, digests, leaks, ledger, subjects, tokens
 from meshloom.runtime import Scratch, table
 
 # -- p1: groups of matched nodes ---------------------------------------------
@@ -97,7 +97,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(documents, items).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p6_ids": p6_ids, "p7_found": p7_found}
+# -- p8: subjects of documents -------------------------------------------------
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, areas, labels = (table(spark, sf_dir, name) for name in ("documents", "subject_areas", "subject_labels"))
+    return subjects.dealt_with(documents, areas, labels)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 # One reading of a record for DuckDB, whose expressions have no look-around: keys are marked first, then cut apart.
 _P2_KEYED = r"""
