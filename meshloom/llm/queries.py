@@ -68,18 +68,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.where(above).select(*_KEYS).distinct()
 
 
+def certified_weeks(values: DataFrame, scratch: Scratch) -> DataFrame:
+    """(etype, field_name, week_no, pct, total, estimate, rank_error) of ``values``: quartiles of every week, and (week_no null) of all weeks together.
+
+    ``rank_error`` is counted over the values in a second pass, for the weeks together as well.
+    """
+    group = ["etype", "field_name"]
+    weekly = scratch.save(digests.merge_digests(digests.digest(values, _KEYS, "value"), _KEYS), "weekly")
+    pcts = values.sparkSession.createDataFrame([(25, 0.25), (50, 0.5), (75, 0.75)], "pct int, q double")
+    wanted = weekly.select(*group).distinct().crossJoin(F.broadcast(pcts))  # three rows
+    finite = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    by_week = scratch.save(digests.quantiles(weekly, _KEYS, wanted, group), "by-week")
+    together = scratch.save(digests.quantiles(digests.merge_digests(weekly, group), group, wanted, group), "together")
+    columns = [*_KEYS, "pct", "total", "estimate", "rank_error"]
+    certain = digests.certify(finite, by_week, _KEYS, "value").select(*columns)
+    return certain.unionByName(digests.certify(finite, together, group, "value").withColumn("week_no", F.lit(None).cast("long")).select(*columns))
+
+
 def p4_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles of each type and field: of every week, and (week_no null) of all weeks together from the weeks' digests."""
+    """Quartiles of each type and field: of every week, and (week_no null) of all weeks together from the weeks' digests, each with its error in rank."""
     scratch = Scratch(spark, "percentiles")
-    values = _field_values(spark, sf_dir, scratch)
-    weekly = scratch.save(digests.merge_digests(digests.digest(values, _KEYS, "value"), _KEYS), "weekly")
-    pcts = spark.createDataFrame([(25, 0.25), (50, 0.5), (75, 0.75)], "pct int, q double")
-    wanted = weekly.select("etype", "field_name").distinct().crossJoin(F.broadcast(pcts))  # three rows
-    whole = digests.merge_digests(weekly, ["etype", "field_name"])
-    columns = ["etype", "field_name", "week_no", "pct", "total", "estimate"]
-    by_week = digests.quantiles(weekly, _KEYS, wanted, ["etype", "field_name"]).select(*columns)
-    together = digests.quantiles(whole, ["etype", "field_name"], wanted, ["etype", "field_name"]).withColumn("week_no", F.lit(None).cast("long")).select(*columns)
-    return by_week.unionByName(together)
+    return certified_weeks(_field_values(spark, sf_dir, scratch), scratch)
 
 
 # -- p6: token ids -------------------------------------------------------------
