@@ -1 +1 @@
-
+"""Expressions that lower to Columns: fields, selections, geometry."""

@@ -16,6 +16,8 @@ SPLIT_BITS = 2
 REFINEMENTS = 3
 #: Cells of the near join are this many times as wide as the distance.
 NEAR_WIDTH = 8
+#: Cells at least this wide need no look at the extent of the points.
+SAFE_WIDTH = 1e-6
 #: Most coverage cells that are broadcast; beyond it the join shuffles.
 COVER_ROWS = 500_000
 
@@ -30,33 +32,66 @@ def finite(*cols: Column) -> Column:
 # -- pairs within a distance ------------------------------------------------
 
 
-def near_pairs(points: DataFrame, eps: float, point_id: str = "node_id", scope: str = "mesh_id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def _width(eps: float, points: DataFrame, axes: tuple[str, ...]) -> float:
+    """Width of the cells: several distances, but so wide that a cell's number fits a bigint; a tiny ``eps`` reads the extent once."""
+    if eps * NEAR_WIDTH >= SAFE_WIDTH:
+        return eps * NEAR_WIDTH
+    widest = points.agg(F.max(F.greatest(*[F.abs(a) for a in axes]))).first()[0] if points.columns else None
+    return max(eps * NEAR_WIDTH, (widest or 1.0) * 2.0**-40, 1e-300)
+
+
+def _ready(points: DataFrame, point_id: str, scope: str | None, axes: tuple[str, ...]) -> DataFrame:
+    at = [F.col(a).cast("double") for a in axes]
+    s = F.lit(0) if scope is None else F.col(scope)
+    return points.where(finite(*at) & s.isNotNull() & F.col(point_id).isNotNull()).select(s.alias("s"), F.col(point_id).alias("id"), *[a.alias(f"c{i}") for i, a in enumerate(at)])
+
+
+def _near(left: DataFrame, right: DataFrame, eps: float, width: float, n: int, meets: Column | None = None) -> DataFrame:
+    """(s, id_a, id_b, d2): each left point goes to its own cell, and each right one to every cell that its ball touches, so that a pair meets once."""
+    reach = eps * (1 + 1e-9)
+    home = left.select("s", F.col("id").alias("id_a"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(n)], *[F.floor(F.col(f"c{i}") / width).alias(f"k{i}") for i in range(n)])
+    spread = right
+    for i in range(n):
+        c = F.col(f"c{i}")
+        # The rounding of c / width may exceed reach for far coordinates; one more ulp-sized margin covers it.
+        slack = F.lit(reach) + F.abs(c) * 1e-15
+        spread = spread.withColumn(f"k{i}", F.explode(F.sequence(F.floor((c - slack) / width), F.floor((c + slack) / width))))
+    spread = spread.select("s", F.col("id").alias("id_b"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(n)], *[f"k{i}" for i in range(n)])
+    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(n)]
+    d2 = sum((g * g for g in gap[1:]), gap[0] * gap[0])
+    both = home.join(spread, ["s", *[f"k{i}" for i in range(n)]])
+    if meets is not None:
+        both = both.where(meets)
+    return both.select("s", "id_a", "id_b", d2.alias("d2")).where(F.col("d2") <= eps * eps)
+
+
+def _checked(eps: float) -> None:
+    if not eps >= 0 or math.isinf(eps):
+        raise ValueError("eps must be a finite number, 0 or more")
+
+
+def near_pairs(points: DataFrame, eps: float, point_id: str = "node_id", scope: str | None = "mesh_id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Pairs (id_a < id_b) of points of one ``scope`` at a distance of at most ``eps``, with ``d2``, the squared distance.
 
-    Ids must be unique within ``points``.  Each point goes to the cell that holds it and a
+    Ids must be unique within ``points``; with ``scope`` None all points are of one.  Each point goes to the cell that holds it and a
     copy to every cell that its ball touches; a pair meets in the cell of
     its smaller id and nowhere else, so nothing has to be deduplicated.  Points
     with a null, NaN or infinite coordinate, a null scope or a null id are in no
     pair.  ``eps`` 0 finds equal points; a negative one is refused.
     """
-    if not eps >= 0 or math.isinf(eps):
-        raise ValueError("eps must be a finite number, 0 or more")
-    width = eps * NEAR_WIDTH or 1.0
-    reach = eps * (1 + 1e-9)
-    at = [F.col(a).cast("double") for a in axes]
-    p = points.where(finite(*at) & F.col(scope).isNotNull() & F.col(point_id).isNotNull()).select(F.col(scope).alias("s"), F.col(point_id).alias("id"), *[a.alias(f"c{i}") for i, a in enumerate(at)])
-    cell = [F.floor(F.col(f"c{i}") / width).alias(f"k{i}") for i in range(len(axes))]
-    home = p.select("s", F.col("id").alias("id_a"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(len(axes))], *cell)
-    spread = p
-    for i in range(len(axes)):
-        c = F.col(f"c{i}")
-        # The rounding of c / width may exceed reach for far coordinates; one more ulp-sized margin covers it.
-        slack = F.lit(reach) + F.abs(c) * 1e-15
-        spread = spread.withColumn(f"k{i}", F.explode(F.sequence(F.floor((c - slack) / width), F.floor((c + slack) / width))))
-    spread = spread.select("s", F.col("id").alias("id_b"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(len(axes))], *[f"k{i}" for i in range(len(axes))])
-    d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in range(1, len(axes))), (F.col("a0") - F.col("b0")) * (F.col("a0") - F.col("b0")))
-    both = home.join(spread, ["s", *[f"k{i}" for i in range(len(axes))]]).where(F.col("id_a") < F.col("id_b"))
-    return both.select(F.col("s").alias(scope), "id_a", "id_b", d2.alias("d2")).where(F.col("d2") <= eps * eps)
+    _checked(eps)
+    p = _ready(points, point_id, scope, axes)
+    names = [f"c{i}" for i in range(len(axes))]
+    found = _near(p, p, eps, _width(eps, p, tuple(names)), len(axes), F.col("id_a") < F.col("id_b"))
+    return found.select("id_a", "id_b", "d2") if scope is None else found.withColumnRenamed("s", scope)
+
+
+def near_join(left: DataFrame, right: DataFrame, eps: float, left_id: str = "node_id", right_id: str = "node_id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(id_a, id_b, d2): every left point with every right one at a distance of at most ``eps``; nulls as in :func:`near_pairs`."""
+    _checked(eps)
+    a, b = _ready(left, left_id, None, axes), _ready(right, right_id, None, axes)
+    names = tuple(f"c{i}" for i in range(len(axes)))
+    return _near(a, b, eps, max(_width(eps, a, names), _width(eps, b, names)), len(axes)).select("id_a", "id_b", "d2")
 
 
 # -- regions ----------------------------------------------------------------
