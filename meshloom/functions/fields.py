@@ -10,12 +10,12 @@ comparison with it false.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,9 +116,9 @@ class Field:
         return cls(_lower=lambda _: Value(F.lit(float(value)), 0, True))
 
     @classmethod
-    def from_column(cls, column: Column, rank: int = 0) -> Field:
-        """Any Column over the elements, a ``pandas_udf`` included."""
-        return cls(_lower=lambda _: Value(column, rank))
+    def from_column(cls, column: Column, rank: int = 0, names: Sequence[str] = ()) -> Field:
+        """Any Column over the elements, a ``pandas_udf`` included; ``rank`` 1 for an array, ``names`` the fields it reads."""
+        return cls(_lower=lambda _: Value(column, rank), _names=frozenset(names))
 
     @classmethod
     def _axis(cls, k: int) -> Field:
@@ -241,21 +241,15 @@ class Field:
         return Field(_lower=lower, _needs_points=self.needs_points, _names=self.names)
 
     def mapv(self, f: Callable[[pd.Series], pd.Series]) -> Field:
-        """``f`` over the numbers, in Arrow batches in Python; prefer the built-in functions, which stay in the JVM."""
-
-        def values(s: pd.Series) -> pd.Series:
-            return f(s)
-
-        udf = F.pandas_udf(values, "double")
+        """``f`` over the numbers, in Arrow batches in Python; prefer the built-in functions, which stay in the JVM.  Null stays null."""
+        udf = F.arrow_udf(_keeping_nulls(f), T.DoubleType())
         return Field(_lower=lambda scope: Value(udf(_number(self.lower(scope)))), _needs_points=self.needs_points, _names=self.names)
 
     def map_zip(self, other: Any, f: Callable[[pd.Series, pd.Series], pd.Series]) -> Field:
+        """:meth:`mapv` over two expressions; null where one is null."""
         o = _as_field(other)
 
-        def values(a: pd.Series, b: pd.Series) -> pd.Series:
-            return f(a, b)
-
-        udf = F.pandas_udf(values, "double")
+        udf = F.arrow_udf(_keeping_nulls_of_two(f), T.DoubleType())
         return Field(_lower=lambda scope: Value(udf(_number(self.lower(scope)), _number(o.lower(scope)))), _needs_points=self.needs_points or o.needs_points, _names=self.names | o.names)
 
     # comparisons: selections of elements
@@ -286,6 +280,30 @@ class Field:
     __hash__ = object.__hash__
 
 
+def _masked(values: pd.Series, *inputs: pa.Array) -> pa.Array:
+    """The values as Arrow, where NaN is a number, and null only what was null."""
+    import numpy as np
+
+    gone = np.zeros(len(values), dtype=bool)
+    for i in inputs:
+        gone |= i.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(np.asarray(values, dtype=float), mask=gone)
+
+
+def _keeping_nulls(f: Callable) -> Callable:
+    def values(a: pa.Array) -> pa.Array:
+        return _masked(f(a.to_pandas()), a)
+
+    return values
+
+
+def _keeping_nulls_of_two(f: Callable) -> Callable:
+    def values(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _masked(f(a.to_pandas(), b.to_pandas()), a, b)
+
+    return values
+
+
 def compare(op: str, a: Value, b: Value) -> Column:
     """The comparison; of vectors all components must satisfy it, for ``!=`` too."""
     v = _broadcast(lambda x, y: ieee_compare(op, x, y), a, b)
@@ -339,7 +357,3 @@ def _broadcast(f: Callable[[Column, Column], Column], a: Value, b: Value) -> Val
     if a.rank:
         return Value(F.transform(a.column, lambda x: f(x, b.column)), 1, fixed)
     return Value(F.transform(b.column, lambda y: f(a.column, y)), 1, fixed)
-
-
-def is_finite(x: float) -> bool:
-    return math.isfinite(x)

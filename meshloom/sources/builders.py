@@ -14,6 +14,10 @@ from meshloom.mesh import Mesh
 _GRIDS = {1: "SEG2", 2: "QUAD4", 3: "HEX8"}
 
 
+#: Values of an axis written into the plan; a longer axis is joined.
+INLINE_AXIS = 4_096
+
+
 def _lookup(values: Sequence[float], at: Column) -> Column:
     return F.get(F.array(*[F.lit(float(v)) for v in values]), at.cast("int"))
 
@@ -36,7 +40,16 @@ def grid(spark: SparkSession, *axes: Sequence[float]) -> Mesh:
         s, c = s * k, c * max(k - 1, 1)
     i = F.col("id")
     place = lambda step, size: F.expr(f"(id div {step}) % {size}")
-    points = spark.range(nodes).select(i.alias("node_id"), *[_lookup(a, place(strides[d], n[d])).alias(AXES[d]) for d, a in enumerate(axes)])
+    points, coords = spark.range(nodes), []
+    for d, a in enumerate(axes):
+        at = place(strides[d], n[d])
+        if n[d] <= INLINE_AXIS:
+            coords.append(_lookup(a, at).alias(AXES[d]))
+        else:
+            values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(a)], f"__k{d} bigint, {AXES[d]} double")
+            points = points.join(values, at == F.col(f"__k{d}"))
+            coords.append(F.col(AXES[d]))
+    points = points.select(i.alias("node_id"), *coords)
     corner = sum((place(cell_strides[d], max(n[d] - 1, 1)) * strides[d] for d in range(1, len(axes))), place(1, max(n[0] - 1, 1)))
     face = [0, 1] if len(axes) == 1 else [0, 1, 1 + n[0], n[0]]
     ends = face if len(axes) < 3 else face + [k + strides[2] for k in face]

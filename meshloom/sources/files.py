@@ -22,6 +22,8 @@ from meshloom import etypes
 from meshloom.mesh import Mesh
 from meshloom.sources.arrays import Arrays, Block, from_arrays, to_arrays
 
+#: Bytes handed to the file system at a time.
+PIECE = 16 << 20
 #: What stands for the end of a face in files, where numbers have no sign.
 FILE_FACE_END = 2**64 - 1
 
@@ -94,28 +96,41 @@ def to_json(mesh: Mesh, pretty: bool = False) -> str:
     return json.dumps(to_document(mesh), indent=2 if pretty else None, separators=None if pretty else (",", ":"))
 
 
+def save_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file by Spark's file systems, so that ``path`` may lie in any store that the cluster reaches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, True)
+    try:
+        for k in range(0, len(data), PIECE):
+            out.write(bytearray(data[k : k + PIECE]))
+    finally:
+        out.close()
+
+
+def load_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def _write_json(mesh: Mesh, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(to_json(mesh, pretty=True))
+    save_bytes(mesh.spark, path, to_json(mesh, pretty=True).encode())
 
 
 def _read_json(spark: SparkSession, path: str) -> Mesh:
-    with open(path, encoding="utf-8") as f:
-        return from_document(spark, json.load(f))
+    return from_document(spark, json.loads(load_bytes(spark, path)))
 
 
 def _write_yaml(mesh: Mesh, path: str) -> None:
     import yaml
 
-    with open(path, "w", encoding="utf-8") as f:
-        yaml.dump(to_document(mesh), f, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), default_flow_style=None, sort_keys=False)
+    text = yaml.dump(to_document(mesh), Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), default_flow_style=None, sort_keys=False)
+    save_bytes(mesh.spark, path, text.encode())
 
 
 def _read_yaml(spark: SparkSession, path: str) -> Mesh:
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return from_document(spark, yaml.load(f, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+    return from_document(spark, yaml.load(load_bytes(spark, path), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
 
 
 # -- VTK -----------------------------------------------------------------------------
@@ -162,7 +177,7 @@ def _write_vtu(mesh: Mesh, path: str) -> None:
     cells = ElementTree.SubElement(piece, "Cells")
     for name, kind, v in (("connectivity", "Int64", conn), ("offsets", "Int64", ends), ("types", "UInt8", codes)):
         ElementTree.SubElement(cells, "DataArray", type=kind, Name=name, format="ascii").text = _text(v)
-    ElementTree.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+    save_bytes(mesh.spark, path, ElementTree.tostring(root, encoding="utf-8", xml_declaration=True))
 
 
 _VTU_TYPES = {"Float32": "f4", "Float64": "f8", "Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Int64": "i8", "UInt64": "u8"}
@@ -181,7 +196,7 @@ def _data_array(node, root) -> np.ndarray:
 
 
 def _read_vtu(spark: SparkSession, path: str) -> Mesh:
-    root = ElementTree.parse(path).getroot()
+    root = ElementTree.fromstring(load_bytes(spark, path))
     piece = root.find("./UnstructuredGrid/Piece")  # the first alone
     if piece is None:
         raise ValueError("the file holds no unstructured grid")
@@ -194,15 +209,14 @@ def _write_vtk(mesh: Mesh, path: str) -> None:
     a, conn, ends, codes = _cells(mesh)
     sizes = np.diff(np.r_[0, ends])
     flat = np.insert(conn, np.r_[0, ends[:-1]] if len(ends) else np.zeros(0, int), sizes)
-    with open(path, "w", encoding="ascii") as f:
-        f.write("# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID\n")
-        f.write(f"POINTS {len(a.coords)} double\n{_text(a.matrix3().ravel())}\n")
-        f.write(f"CELLS {len(codes)} {len(flat)}\n{_text(flat)}\nCELL_TYPES {len(codes)}\n{_text(codes)}\n")
+    head = "# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID\n"
+    points = f"POINTS {len(a.coords)} double\n{_text(a.matrix3().ravel())}\n"
+    cells = f"CELLS {len(codes)} {len(flat)}\n{_text(flat)}\nCELL_TYPES {len(codes)}\n{_text(codes)}\n"
+    save_bytes(mesh.spark, path, (head + points + cells).encode())
 
 
 def _read_vtk(spark: SparkSession, path: str) -> Mesh:
-    with open(path, encoding="ascii", errors="replace") as f:
-        text = f.read()
+    text = load_bytes(spark, path).decode("ascii", errors="replace")
     if not text.startswith("# vtk") or not re.search(r"^ASCII\s*$", text, re.M):
         raise ValueError("only legacy files in ASCII can be read")
 
@@ -245,8 +259,7 @@ def _by_extension(table: dict[str, Callable], path: str) -> tuple[Callable, str]
     ext = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     if ext not in table:
         raise ValueError(f"no format has the extension {ext!r}; there are {', '.join(table)}")
-    single = ext != "mesh"
-    return table[ext], path.removeprefix("file://") if single else path
+    return table[ext], path
 
 
 def read(spark: SparkSession, path: str) -> Mesh:
