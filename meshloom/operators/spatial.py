@@ -9,7 +9,7 @@ from meshloom import etypes
 from meshloom.functions import geometry as g
 from meshloom.mesh import KEY, Mesh
 from meshloom.operators.graph import star_components
-from meshloom.operators.nearby import near_join, near_pairs
+from meshloom.operators.nearby import finite, near_join, near_pairs
 from meshloom.runtime import Scratch
 
 #: The default distance of snapping and merging.
@@ -137,3 +137,34 @@ def merge_nodes(mesh: Mesh, eps: float = EPS, strategy: str = "greedy") -> Mesh:
     conn = F.when(F.col("__moved").isNull(), F.col("conn")).otherwise(F.transform("conn", lambda n: F.coalesce(F.try_element_at("__moved", n), n)))
     rows = mesh.elements.join(own, KEY, "left").select(*[conn.alias(c) if c == "conn" else F.col(c) for c in mesh.elements.columns])
     return Mesh(mesh.nodes, rows, mesh.groups)
+
+
+# -- crossings of segments -----------------------------------------------------------
+
+
+def segment_crossings(mesh: Mesh, width: float | None = None) -> DataFrame:
+    """(id_a, id_b, kind, a, b, x, y): every two SEG2 elements, id_a < id_b, of a plane mesh that meet; see :func:`geometry.segment_intersection`.
+
+    Each segment goes to the cells of a grid that its box touches; a pair is tested in
+    the first cell that both share, and only there.  ``width`` of the cells is by default twice the
+    mean size of the boxes.  Segments with unknown, null or infinite nodes meet nothing.
+    """
+    if mesh.space_dim != 2:
+        raise ValueError("the mesh must lie in two dimensions")
+    scratch = Scratch(mesh.spark, "crossings")
+    p, q = F.get("points", F.lit(0)), F.get("points", F.lit(1))
+    ends = mesh.with_points(mesh.block("SEG2")).select("elem_id", p.alias("p"), q.alias("q"))
+    known = [F.col(f"{e}.{a}") for e in "pq" for a in "xy"]
+    box = [F.least("p.x", "q.x").alias("x0"), F.greatest("p.x", "q.x").alias("x1"), F.least("p.y", "q.y").alias("y0"), F.greatest("p.y", "q.y").alias("y1")]
+    s = scratch.save(ends.where(finite(*known)).select("elem_id", "p", "q", *box), "segments")
+    if width is None:
+        mean = s.agg(F.avg((F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2)).first()[0]
+        width = 2 * mean if mean else 1.0
+    cell = lambda c: F.floor(F.col(c) / width)
+    cells = s.withColumn("kx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("ky", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    a = cells.select("kx", "ky", *[F.col(c).alias(f"{c}_a") for c in ("elem_id", "p", "q", "x0", "x1", "y0", "y1")])
+    b = cells.select("kx", "ky", *[F.col(c).alias(f"{c}_b") for c in ("elem_id", "p", "q", "x0", "x1", "y0", "y1")])
+    both = a.join(b, ["kx", "ky"]).where("elem_id_a < elem_id_b and x0_a <= x1_b and x0_b <= x1_a and y0_a <= y1_b and y0_b <= y1_a")
+    here = (F.col("kx") == F.floor(F.greatest("x0_a", "x0_b") / width)) & (F.col("ky") == F.floor(F.greatest("y0_a", "y0_b") / width))
+    met = both.where(here).select(F.col("elem_id_a").alias("id_a"), F.col("elem_id_b").alias("id_b"), g.segment_intersection(F.col("p_a"), F.col("q_a"), F.col("p_b"), F.col("q_b")).alias("m"))
+    return met.select("id_a", "id_b", "m.*").where("kind <> 'none'")

@@ -262,13 +262,13 @@ def geo_11(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when t between 0 and 1 and u between 0 and 1 then floor((xs[1] + t * v1x) * 1000 + 0.1237)::bigint::varchar end as x, 'end2' as adjacent, 'overlap14' as along from t""",
 )
 def geo_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The diagonals of each quadrangle, two adjacent edges, and an edge against a piece of itself that starts in its middle (overlap from the middle to its end) written backwards."""
+    """The diagonals of each quadrangle, two adjacent edges, and an edge (moved to the origin) against a piece of its line from before its start to its middle."""
     mesh = space(spark, sf_dir, 2)
     ok = F.forall("points", lambda p: (p["x"] + p["y"]).isNotNull() & ~F.isnan(p["x"] + p["y"]))
     rows = mesh.with_points(mesh.block("QUAD4")).where(F.col("points").isNotNull() & ok)
-    half = F.struct(((_pt(0)["x"] + _pt(1)["x"]) / 2).alias("x"), ((_pt(0)["y"] + _pt(1)["y"]) / 2).alias("y"))
-    far = F.struct((_pt(0)["x"] * 2 - _pt(1)["x"]).alias("x"), (_pt(0)["y"] * 2 - _pt(1)["y"]).alias("y"))
-    cut = rows.select("elem_id", g.segment_intersection(_pt(0), _pt(2), _pt(1), _pt(3)).alias("d"), g.segment_intersection(_pt(0), _pt(1), _pt(1), _pt(2)).alias("a"), g.segment_intersection(_pt(0), _pt(1), far, half).alias("o"))
+    at = lambda f: F.struct((f * (_pt(1)["x"] - _pt(0)["x"])).alias("x"), (f * (_pt(1)["y"] - _pt(0)["y"])).alias("y"))
+    crossed, beside = g.segment_intersection(_pt(0), _pt(2), _pt(1), _pt(3)), g.segment_intersection(_pt(0), _pt(1), _pt(1), _pt(2))
+    cut = rows.select("elem_id", crossed.alias("d"), beside.alias("a"), g.segment_intersection(at(F.lit(0.0)), at(F.lit(1.0)), at(F.lit(-1.0)), at(F.lit(0.5))).alias("o"))
     return cut.select("elem_id", F.col("d.kind").alias("diagonals"), thousandths(F.col("d.x")).alias("x"), F.concat("a.kind", F.col("a.a").cast("string")).alias("adjacent"), F.concat("o.kind", F.col("o.a").cast("string"), F.col("o.b").cast("string")).alias("along"))
 
 
