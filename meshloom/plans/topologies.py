@@ -292,10 +292,13 @@ def jon_08(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add(
     "jon_09",
     f"""with {POINTS}, s as (select elem_id, xs[1] as ax, ys[1] as ay, xs[2] as bx, ys[2] as by_ from p2 where etype = 'SEG2' and isfinite(xs[1]) and isfinite(xs[2]) and isfinite(ys[1]) and isfinite(ys[2])),
-    q as (select a.elem_id as id_a, b.elem_id as id_b, a.ax, a.ay, a.bx - a.ax as ux, a.by_ - a.ay as uy, b.bx - b.ax as vx, b.by_ - b.ay as vy, b.ax - a.ax as wx, b.ay - a.ay as wy from s a join s b on a.elem_id < b.elem_id
-        and least(a.ax, a.bx) <= greatest(b.ax, b.bx) and least(b.ax, b.bx) <= greatest(a.ax, a.bx) and least(a.ay, a.by_) <= greatest(b.ay, b.by_) and least(b.ay, b.by_) <= greatest(a.ay, a.by_)),
-    t as (select id_a, id_b, (wx * vy - wy * vx) / (ux * vy - uy * vx) as t, (wx * uy - wy * ux) / (ux * vy - uy * vx) as u from q where abs(ux * vy - uy * vx) >= 1e-6)
-    select id_a, id_b from t where t > 1e-6 and t < 1 - 1e-6 and u > 1e-6 and u < 1 - 1e-6""",
+    q as (select a.elem_id as id_a, b.elem_id as id_b, a.ax, a.ay, a.bx as cx, a.by_ as cy, b.ax as ex, b.ay as ey, b.bx as fx, b.by_ as fy, a.bx - a.ax as ux, a.by_ - a.ay as uy, b.bx - b.ax as vx, b.by_ - b.ay as vy, b.ax - a.ax as wx, b.ay - a.ay as wy
+        from s a join s b on a.elem_id < b.elem_id and least(a.ax, a.bx) <= greatest(b.ax, b.bx) and least(b.ax, b.bx) <= greatest(a.ax, a.bx) and least(a.ay, a.by_) <= greatest(b.ay, b.by_) and least(b.ay, b.by_) <= greatest(a.ay, a.by_)),
+    o as (select *, ux * vy - uy * vx as d, 64 * pow(2::double, -52) * greatest(abs(ux), abs(uy), abs(vx), abs(vy), 1) as eps from q),
+    t as (select *, (wx * vy - wy * vx) / d as t, (wx * uy - wy * ux) / d as u from o where abs(d) >= eps and ux * ux + uy * uy >= eps and vx * vx + vy * vy >= eps),
+    m as (select *, ax + t * ux as mx, ay + t * uy as my from t where t between 0 and 1 and u between 0 and 1)
+    select id_a, id_b from m where (ax - mx) * (ax - mx) + (ay - my) * (ay - my) >= eps and (cx - mx) * (cx - mx) + (cy - my) * (cy - my) >= eps
+        and (ex - mx) * (ex - mx) + (ey - my) * (ey - my) >= eps and (fx - mx) * (fx - mx) + (fy - my) * (fy - my) >= eps""",
 )
 def jon_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments in the plane that cross in a point of neither's ends."""
