@@ -64,7 +64,7 @@ def _runs(keys: list[str]):
 
     def _with(held) -> pa.RecordBatch:
         batch, part, runs, pos, edge = held
-        more = [pa.array([part] * batch.num_rows, pa.int32()), pa.array(runs, pa.int64()), pa.array(pos, pa.int64()), pa.array(edge, pa.int8())]
+        more = [pa.repeat(pa.scalar(part, pa.int32()), batch.num_rows), pa.array(runs, pa.int64()), pa.array(pos, pa.int64()), pa.array(edge, pa.int8())]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, _PART, _RUN, _POS, _EDGE])
 
     return work

@@ -23,8 +23,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each block, from the numbers."""
-    return _numbered(spark, sf_dir).groupBy("mesh_id", "etype").agg((F.max("block_pos") + 1).alias("n_elements"))
+    """Size of each block: a count needs no numbers, only partial sums."""
+    elements = table(spark, sf_dir, "mesh_elements").where("etype is not null").select("mesh_id", "etype", "elem_id").distinct()
+    return elements.groupBy("mesh_id", "etype").agg(F.count("*").alias("n_elements"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Rows of one node agree in all but loaded_at.
     unique = scratch.save(nodes.select("node_id", "mesh_id", "x", "y", "z").distinct(), "nodes")
     zones = points_in_regions(unique, table(spark, sf_dir, "zones").dropDuplicates(["zone_id"]))
-    dims = small(table(spark, sf_dir, "meshes").select("mesh_id", "space_dim").distinct(), 5_000_000)
+    dims = small(table(spark, sf_dir, "meshes").select("mesh_id", "space_dim").distinct())
     # A flat mesh has no third coordinate: its nodes all get 0.
     space = unique.join(dims, "mesh_id").where("space_dim in (2, 3)").withColumn("z", F.expr("if(space_dim = 3, z, 0D)"))
     near = near_pairs(space, NEAR)
