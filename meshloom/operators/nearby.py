@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.runtime import small
+from meshloom.runtime import Scratch, small
 
 #: Sides of coverage cells are powers of two; each refinement cuts a cell into SPLIT x SPLIT.
 SPLIT_BITS = 2
 REFINEMENTS = 3
 #: Cells of the near join are this many times as wide as the distance.
-NEAR_WIDTH = 8
+NEAR_WIDTH = 32
+#: A tile has TILE cells a side; where one holds more than TILE_POINTS points, its cells are cut into FINE parts a side.
+TILE = 32
+TILE_POINTS = 4_096
+FINE = 8
 #: Cells at least this wide need no look at the extent of the points.
 SAFE_WIDTH = 1e-6
+#: Cells that a Python worker holds before it hands them on.
+COVER_HELD = 100_000
 #: Most coverage cells that are broadcast; beyond it the join shuffles.
 COVER_ROWS = 500_000
 
@@ -46,20 +53,58 @@ def _ready(points: DataFrame, point_id: str, scope: str | None, axes: tuple[str,
     return points.where(finite(*at) & s.isNotNull() & F.col(point_id).isNotNull()).select(s.alias("s"), F.col(point_id).alias("id"), *[a.alias(f"c{i}") for i, a in enumerate(at)])
 
 
+def _dense_tiles(points: DataFrame, width: float, n: int) -> DataFrame | None:
+    """(s, t0, ...): the tiles of TILE cells a side that hold more than TILE_POINTS points; None if there are none.
+
+    The count is combined before its shuffle, so that a tile of any number of points is one row a partition.
+    """
+    tile = [F.floor(F.floor(F.col(f"c{i}") / width) / TILE).alias(f"t{i}") for i in range(n)]
+    dense = points.groupBy("s", *tile).agg(F.count("*").alias("__n")).where(F.col("__n") > TILE_POINTS).drop("__n")
+    dense = Scratch(points.sparkSession, "tiles").save(dense, "dense")
+    return None if dense.isEmpty() else dense.withColumn("__dense", F.lit(True))
+
+
 def _near(left: DataFrame, right: DataFrame, eps: float, width: float, n: int, meets: Column | None = None) -> DataFrame:
-    """(s, id_a, id_b, d2): each left point goes to its own cell, and each right one to every cell that its ball touches, so that a pair meets once."""
+    """(s, id_a, id_b, d2): each left point goes to its own cell, and each right one to every cell that its ball touches, so that a pair meets once.
+
+    Cells are wide, so that few points have copies; in tiles that hold many left points they are cut into FINE parts a side.
+    Cells meet by a hash of their place; a true pair meets in the left point's own cell.
+    """
     reach = eps * (1 + 1e-9)
-    home = left.select("s", F.col("id").alias("id_a"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(n)], *[F.floor(F.col(f"c{i}") / width).alias(f"k{i}") for i in range(n)])
+    dense = _dense_tiles(left, width, n)
+    axes = range(n)
+    fine = width / FINE  # FINE is a power of two: both widths cut a coordinate alike
+    key = lambda level: F.xxhash64("s", F.lit(level), *[f"k{i}" for i in axes])
+
+    home = left
+    for i in axes:
+        home = home.withColumn(f"k{i}", F.floor(F.col(f"c{i}") / width))
     spread = right
-    for i in range(n):
+    for i in axes:
         c = F.col(f"c{i}")
         # The rounding of c / width may exceed reach for far coordinates; one more ulp-sized margin covers it.
         slack = F.lit(reach) + F.abs(c) * 1e-15
         spread = spread.withColumn(f"k{i}", F.explode(F.sequence(F.floor((c - slack) / width), F.floor((c + slack) / width))))
-    spread = spread.select("s", F.col("id").alias("id_b"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(n)], *[f"k{i}" for i in range(n)])
-    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(n)]
+    if dense is None:
+        home, spread = home.withColumn("key", key(0)), spread.withColumn("key", key(0))
+    else:
+        flags = small(dense)
+        tile = lambda df: reduce(lambda d, i: d.withColumn(f"t{i}", F.floor(F.col(f"k{i}") / TILE)), axes, df).join(flags, ["s", *[f"t{i}" for i in axes]], "left")
+        home, spread = tile(home), tile(spread)
+        for i in axes:
+            c = F.col(f"c{i}")
+            slack = F.lit(reach) + F.abs(c) * 1e-15
+            home = home.withColumn(f"k{i}", F.when(F.col("__dense"), F.floor(c / fine)).otherwise(F.col(f"k{i}")))
+            lo = F.greatest(F.floor((c - slack) / fine), F.col(f"k{i}") * FINE)
+            hi = F.least(F.floor((c + slack) / fine), F.col(f"k{i}") * FINE + (FINE - 1))
+            spread = spread.withColumn(f"k{i}", F.explode(F.when(F.col("__dense"), F.sequence(lo, hi)).otherwise(F.array(f"k{i}"))))
+        level = F.when(F.col("__dense"), key(1)).otherwise(key(0))
+        home, spread = home.withColumn("key", level), spread.withColumn("key", level)
+    home = home.select("key", "s", F.col("id").alias("id_a"), *[F.col(f"c{i}").alias(f"a{i}") for i in axes])
+    spread = spread.select("key", F.col("s").alias("__s"), F.col("id").alias("id_b"), *[F.col(f"c{i}").alias(f"b{i}") for i in axes])
+    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in axes]
     d2 = sum((g * g for g in gap[1:]), gap[0] * gap[0])
-    both = home.join(spread, ["s", *[f"k{i}" for i in range(n)]])
+    both = home.join(spread, "key").where(F.col("s") == F.col("__s"))
     if meets is not None:
         both = both.where(meets)
     return both.select("s", "id_a", "id_b", d2.alias("d2")).where(F.col("d2") <= eps * eps)
@@ -135,7 +180,7 @@ def _classify(shape: str, xs, ys, radius, x0, y0, side):
 
 
 def _cover_one(shape, xs, ys, radius, refinements: int):
-    """(level, ix, iy, interior) of the cells that cover one region; the side of a cell is 2**level."""
+    """(level, ix, iy, interior) of the cells that cover one region, the places as arrays; the side of a cell is 2**level."""
     import numpy as np
 
     if xs is None or ys is None or shape not in ("box", "disc", "poly"):
@@ -157,12 +202,10 @@ def _cover_one(shape, xs, ys, radius, refinements: int):
     ix, iy = (a.ravel() for a in np.meshgrid(np.arange(math.floor(box[0] / side), math.floor(box[1] / side) + 1), np.arange(math.floor(box[2] / side), math.floor(box[3] / side) + 1)))
     for depth in range(refinements + 1):
         kind = _classify(shape, xs, ys, radius, ix * side, iy * side, side)
-        for a, b in zip(ix[kind == 2], iy[kind == 2]):
-            yield level, int(a), int(b), True
+        yield level, ix[kind == 2], iy[kind == 2], True
         ix, iy = ix[kind == 1], iy[kind == 1]
         if depth == refinements:
-            for a, b in zip(ix, iy):
-                yield level, int(a), int(b), False
+            yield level, ix, iy, False
             return
         level -= SPLIT_BITS
         side = 2.0**level
@@ -182,9 +225,25 @@ def cover_regions(regions: DataFrame, region_id: str = "zone_id", refinements: i
     cols = regions.select(F.col(region_id).cast("long").alias("r"), "shape", "xs", "ys", F.col("radius").cast("double").alias("radius"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        names, held, rows = [region_id, "level", "ix", "iy", "interior"], [], 0
+
+        def out() -> pd.DataFrame:
+            r, level, ix, iy, interior = zip(*held)
+            n = [len(v) for v in ix]
+            return pd.DataFrame(dict(zip(names, [np.repeat(r, n), np.repeat(level, n), np.concatenate(ix), np.concatenate(iy), np.repeat(interior, n)])))
+
         for f in frames:
-            rows = [(r, *cell) for r, shape, xs, ys, radius in f.itertuples(index=False) for cell in _cover_one(shape, xs, ys, None if radius is None else float(radius), refinements)]
-            yield pd.DataFrame(rows, columns=[region_id, "level", "ix", "iy", "interior"])
+            for r, shape, xs, ys, radius in f.itertuples(index=False):
+                for part in _cover_one(shape, xs, ys, None if radius is None else float(radius), refinements):
+                    held.append((r, *part))
+                    rows += len(part[1])
+                if rows > COVER_HELD:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
 
     return cols.mapInPandas(work, f"{region_id} long, level int, ix long, iy long, interior boolean")
 
@@ -215,14 +274,15 @@ def points_in_regions(points: DataFrame, regions: DataFrame, point_id: str = "no
     """
     spark = points.sparkSession
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    cover = cover_regions(regions, region_id, refinements)
+    shapes = regions.select(F.col(region_id).cast("long").alias(region_id), "shape", "xs", "ys", F.col("radius").cast("double").alias("radius"))
+    cover = Scratch(spark, "cover").save(cover_regions(regions, region_id, refinements), "cells")
     levels = sorted(r[0] for r in cover.select("level").distinct().collect())  # one row a power of two
     if not levels:
         return spark.createDataFrame([], f"{region_id} long, {point_id} {dict(points.dtypes)[point_id]}")
     p = points.where(finite(px, py) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("__id"), px.alias("__x"), py.alias("__y"))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("__x") / F.lit(2.0**k)).alias("ix"), F.floor(F.col("__y") / F.lit(2.0**k)).alias("iy")) for k in levels]))
     hits = p.select("__id", "__x", "__y", cells.alias("__c")).select("__id", "__x", "__y", "__c.level", "__c.ix", "__c.iy").join(small(cover, COVER_ROWS), ["level", "ix", "iy"])
-    sure = hits.where("interior").select(region_id, F.col("__id").alias(point_id))
-    shapes = regions.select(F.col(region_id).cast("long").alias(region_id), "shape", "xs", "ys", F.col("radius").cast("double").alias("radius"))
-    tested = hits.where("not interior").join(small(shapes), region_id).where(inside(F.col("shape"), F.col("xs"), F.col("ys"), F.col("radius"), F.col("__x"), F.col("__y")))
-    return sure.unionByName(tested.select(region_id, F.col("__id").alias(point_id)))
+    # One branch: the exact test is made only where the cell does not decide.
+    exact = inside(F.col("shape"), F.col("xs"), F.col("ys"), F.col("radius"), F.col("__x"), F.col("__y"))
+    found = hits.join(small(shapes), region_id).where(F.when(F.col("interior"), True).otherwise(exact))
+    return found.select(region_id, F.col("__id").alias(point_id))
