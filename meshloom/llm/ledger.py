@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from meshloom.runtime import Scratch, lookup_join
 
-#: Buckets of a ledger, by hash of the key; a batch reads and writes only those that its keys fall into.
+#: Buckets of a new ledger, by hash of the key; a batch reads and writes only those that its keys fall into.
 BUCKETS = 16
-#: Equal spans of time that a whole table is cut into when it is taken batch by batch.
+#: Keys a bucket may hold on average before the ledger is cut into FAN times as many.
+BUCKET_KEYS = 1_000_000
+FAN = 4
+#: Parts by time that a whole table is cut into when it is taken batch by batch.
 BATCHES = 4
 
 # The names of an exported element's fields, as patterns over lower-case text.
@@ -54,48 +58,122 @@ def canonical_record(record: Column) -> Column:
 class Ledger:
     """How many records had each canonical key so far, and the smallest record id among them.
 
-    The counts lie in ``buckets`` buckets by hash of the key.  ``add`` aggregates a batch,
-    joins it in full with the ledger's rows of the same buckets alone, and writes
-    those buckets anew; the others stay as they are.  Batches may come in any
-    order; the result is the same.  Records with a null key are not counted.
-    """
+    A ledger lives in a folder, and a later session goes on with :meth:`open`.  The counts
+    lie in buckets by hash of the key.  ``add`` aggregates a batch, joins it in
+    full with the ledger's rows of the same buckets alone, and writes those buckets anew, one
+    task a bucket; the others stay as they are.  Only then is a new manifest
+    written, which says where each bucket lies and which batches are in: a run that dies
+    before leaves the ledger as it was, and a batch whose name is in already is not added again.
+    Batches may come in any order; the result is the same.  Records with a null key are not counted.
 
-    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, buckets: int = BUCKETS):
-        self.spark, self.scratch, self.buckets = spark, scratch or Scratch(spark, "ledger"), buckets
-        self._version = 0
-        #: The version that holds each bucket, and what is left of each version.
-        self._where: dict[int, int] = {}
+    The buckets follow the keys: where they hold more than ``BUCKET_KEYS`` on average, the ledger is
+    cut into FAN times as many, by hash, so that a small batch touches few.  One writer at a time.
+    """
 
     _COLUMNS = "key binary, n long, first_id long, bucket int"
 
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, bucket_keys: int = BUCKET_KEYS):
+        self.spark, self.path, self.bucket_keys = spark, path.rstrip("/"), bucket_keys
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        #: Version, buckets, the version that holds each bucket, keys in each, and the batches that are in.
+        self._state = self._last() or {"version": 0, "buckets": buckets, "where": {}, "keys": {}, "batches": []}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        """The ledger in a folder; a new one if there is none."""
+        return cls(spark, path)
+
+    @property
+    def buckets(self) -> int:
+        return self._state["buckets"]
+
+    # the manifest
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._at("").getFileSystem(self._conf)
+
+    def _last(self) -> dict | None:
+        folder = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self._conf)
+        if not fs.exists(folder):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        done = sorted(int(n[len("manifest-") : -len(".json")]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+        if not done:
+            return None
+        rows = self.spark.read.text(f"{self.path}/manifest-{done[-1]}.json", wholetext=True).collect()  # one file
+        return json.loads(rows[0][0])
+
+    def _commit(self, state: dict) -> None:
+        """Writes the manifest under another name, then renames it: there is a whole one or none."""
+        name = f"manifest-{state['version']}.json"
+        out = self._fs().create(self._at(f"_{name}"), True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs().rename(self._at(f"_{name}"), self._at(name)):
+            raise RuntimeError(f"another writer has added to the ledger in {self.path}")
+        old, self._state = self._state, state
+        for v in set(old["where"].values()) - set(state["where"].values()):
+            self._fs().delete(self._at(f"v{v}"), True)
+        self._fs().delete(self._at(f"manifest-{old['version']}.json"), False)
+
+    # rows
+
+    def _bucket(self, key: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
 
     def _read(self, buckets: list[int]) -> DataFrame:
         by_version: dict[int, list[int]] = {}
         for b in buckets:
-            if b in self._where:
-                by_version.setdefault(self._where[b], []).append(b)
-        parts = [self.spark.read.schema(self._COLUMNS).parquet(self.scratch.path(f"v{v}")).where(F.col("bucket").isin(own)) for v, own in sorted(by_version.items())]
+            if str(b) in self._state["where"]:
+                by_version.setdefault(self._state["where"][str(b)], []).append(b)
+        parts = [self.spark.read.schema(self._COLUMNS).parquet(f"{self.path}/v{v}").where(F.col("bucket").isin(own)) for v, own in sorted(by_version.items())]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self._COLUMNS)
 
-    def add(self, batch: DataFrame) -> None:
-        """``batch``: columns key (binary) and id (bigint), one row a record."""
-        counted = batch.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("bucket", self._bucket(F.col("key")))
-        new = self.scratch.save(counted, f"batch-{self._version}")
+    def _write(self, rows: DataFrame, version: int, buckets: int) -> dict[int, int]:
+        """Writes buckets as a version, each by one task, and tells how many keys each has."""
+        path = f"{self.path}/v{version}"
+        rows.repartition(max(1, buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        # One row a bucket.
+        return {r[0]: r[1] for r in self.spark.read.schema(self._COLUMNS).parquet(path).groupBy("bucket").count().collect()}
+
+    def add(self, batch: DataFrame, name: str | None = None) -> bool:
+        """Adds ``batch``: columns key (binary) and id (bigint), one row a record.  False if a batch of this name is in already."""
+        state = self._state
+        if name is not None and name in state["batches"]:
+            return False
+        version, n = state["version"] + 1, state["buckets"]
+        counted = batch.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("bucket", self._bucket(F.col("key"), n))
+        scratch = Scratch(self.spark, "batch")
+        new = scratch.save(counted, "counted")
         touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # as many as buckets at most
+        where, keys = dict(state["where"]), dict(state["keys"])
         if touched:
             old = self._read(touched).select("bucket", "key", F.col("n").alias("m"), F.col("first_id").alias("earlier"))
             merged = new.join(old, ["bucket", "key"], "full_outer").select(
                 "key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.least("first_id", "earlier").alias("first_id"), "bucket"
             )
-            self.scratch.save(merged, f"v{self._version}", partition_by=["bucket"])
-            before = set(self._where.values())
-            self._where.update(dict.fromkeys(touched, self._version))
-            for v in before - set(self._where.values()):
-                self.scratch.drop(f"v{v}")
-        self.scratch.drop(f"batch-{self._version}")
-        self._version += 1
+            for b, count in self._write(merged, version, len(touched)).items():
+                where[str(b)], keys[str(b)] = version, count
+        batches = state["batches"] + ([name] if name is not None else [])
+        self._commit({"version": version, "buckets": n, "where": where, "keys": keys, "batches": batches})
+        scratch.close()
+        if sum(keys.values()) > n * self.bucket_keys:
+            self._split()
+        return True
+
+    def _split(self) -> None:
+        """Cuts the ledger into FAN times as many buckets, as often as the keys ask for; each key stays among the parts of its bucket."""
+        state, n = self._state, self._state["buckets"]
+        while sum(state["keys"].values()) > n * self.bucket_keys:
+            n *= FAN
+        version = state["version"] + 1
+        rows = self._read(list(range(state["buckets"]))).withColumn("bucket", self._bucket(F.col("key"), n))
+        keys = self._write(rows, version, min(n, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * FAN))
+        self._commit({**state, "version": version, "buckets": n, "where": {str(b): version for b in keys}, "keys": {str(b): c for b, c in keys.items()}})
 
     def counts(self) -> DataFrame:
         """(key, n, first_id): one row a key."""
@@ -109,23 +187,22 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def keyed_batches(records: DataFrame, record_id: str, key: Column, at: str, batches: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, key, batch) of all records that have a key, and the same cut by equal spans of ``at``; rows with a null time come with the first batch."""
-    time = F.unix_micros(F.col(at).cast("timestamp"))  # a timestamp without a zone has no cast to double
+    """(id, key, batch) of all records that have a key, and the same cut by ``at`` into parts of about as many rows; rows with a null time come with the first.
+
+    The cuts are approximate quantiles of the times; rows of one time stay together.
+    """
+    time = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({at} as timestamp_ntz))")
     keyed = records.select(F.col(record_id).cast("long").alias("id"), key.alias("key"), time.alias("__at"))
-    span = records.select(F.min(time), F.max(time)).first()
-    if span[0] is None or span[0] == span[1]:
-        batch = F.lit(0)
-    else:
-        part = F.floor((F.col("__at") - span[0]) / (span[1] - span[0]) * batches)
-        batch = F.least(F.lit(batches - 1), F.coalesce(part, F.lit(0))).cast("int")  # least() alone would pass over a null
+    cuts = records.select(time.alias("t")).agg(F.percentile_approx("t", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    batch = sum((F.when(F.col("__at") > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
     saved = scratch.save(keyed.where("key is not null").select("id", "key", batch.cast("int").alias("batch")), "keyed", partition_by=["batch"])
     return saved, [saved.where(F.col("batch") == i).select("id", "key") for i in range(batches)]
 
 
-def collapse(records: DataFrame, record_id: str, key: Column, at: str, batches: int = BATCHES, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """Runs all records through a ledger batch by batch.
+def collapse(records: DataFrame, record_id: str, key: Column, at: str, batches: int = BATCHES, buckets: int = BUCKETS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs all records through a ledger batch by batch: a new one, or with ``path`` the one in that folder.
 
-    Gives the ledger's counts (key, n, first_id) and (kept_id, id) of every further copy.
+    Gives the ledger's counts (key, n, first_id) and (kept_id, id) of every further copy among these records.
     Repeated rows (the same id twice) count as copies.  A hot key is
     combined before its shuffle, and joined back by broadcast of at most 64
     keys, known from the ledger's own counts.
@@ -133,9 +210,10 @@ def collapse(records: DataFrame, record_id: str, key: Column, at: str, batches:
     spark = records.sparkSession
     scratch = Scratch(spark, "ledger")
     keyed, parts = keyed_batches(records, record_id, key, at, batches, scratch)
-    ledger = Ledger(spark, scratch, buckets)
+    ledger = Ledger(spark, path or scratch.path("book"), buckets)
     for part in parts:
         ledger.add(part)
     several = ledger.counts().where("n > 1")
-    copies = lookup_join(keyed.select("id", "key"), several, "key", "n", keyed.count())
+    total = keyed.count()
+    copies = lookup_join(keyed.select("id", "key"), several, "key", "n", total)
     return ledger.counts(), copies.where("id > first_id").select(F.col("first_id").alias("kept_id"), "id")
