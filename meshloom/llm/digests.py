@@ -12,6 +12,7 @@ and at each estimate, so that the error in rank is known, not presumed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from meshloom.runtime import Scratch, small
 
 #: A digest has about half as many clusters; one cluster holds about pi / DELTA of the values at most, in the middle.
 DELTA = 1000
+#: How many times as fine a digest is made where an estimate could not be certified.
+FINER = 8
 #: Partitions whose digests are merged in one task.
 FAN_IN = 64
 #: Values held in a Python worker before they are turned into digests.
@@ -155,18 +158,19 @@ def quantiles(digests: DataFrame, keys: list[str], wanted: DataFrame, on: list[s
 
 
 def certify(values: DataFrame, estimates: DataFrame, on: list[str], value: str, q: str = "q", limit: Column | None = None) -> DataFrame:
-    """The second pass: ``estimates`` with ``below`` and ``at_or_below`` (values of the group that are so to the estimate), ``snapped`` (its largest value at or below it), and ``rank_error``.
+    """The second pass: ``estimates`` with ``below`` and ``at_or_below`` (values of the group that are so to the estimate), ``snapped`` and ``lifted`` (its largest value at or below it, its smallest at or above it), and ``rank_error``.
 
     ``rank_error`` is the distance, as a share of the values, from the wanted rank to the ranks that
     the estimate holds.  ``on`` names the group in both tables.  With ``limit``, a column of
     ``estimates``, also ``within``: the values at or below it.  The estimates are broadcast up to a checked
-    number of rows; the counts are combined before they are shuffled.
+    number of rows (beyond, a group of any size is split by Spark's adaptive skew join); the counts are combined before they are shuffled.
     """
     v = F.col(value)
     counts = [
         F.sum(F.when(v < F.col("estimate"), 1).otherwise(0)).alias("below"),
         F.sum(F.when(v <= F.col("estimate"), 1).otherwise(0)).alias("at_or_below"),
         F.max(F.when(v <= F.col("estimate"), v)).alias("snapped"),
+        F.min(F.when(v >= F.col("estimate"), v)).alias("lifted"),
     ]
     if limit is not None:
         counts.append(F.sum(F.when(v <= limit, 1).otherwise(0)).alias("within"))
@@ -176,10 +180,51 @@ def certify(values: DataFrame, estimates: DataFrame, on: list[str], value: str,
     return out.withColumn("rank_error", F.greatest(F.lit(0.0), F.col("below") - want, want - F.col("at_or_below")) / F.col("total"))
 
 
-def certified_quantiles(values: DataFrame, keys: list[str], value: str, wanted: DataFrame, on: list[str], q: str = "q", limit: Column | None = None, least: int = 1, delta: float = DELTA, scratch: Scratch | None = None) -> DataFrame:
-    """Digest, merge, estimate and certify, for groups of at least ``least`` values."""
+def settle(values: DataFrame, estimates: DataFrame, keys: list[str], value: str, tolerance: float, q: str = "q", limit: Column | None = None, delta: float = DELTA, scratch: Scratch | None = None) -> DataFrame:
+    """:func:`certify`, until no row has a ``rank_error`` above ``tolerance``.
+
+    An estimate that is too far off moves to the value next to it on the side of the wanted
+    rank, which settles ties; if that is not enough, its group gets a
+    digest FINER times as fine; each time the values are counted again.  A digest so fine
+    that every value stays alone is exact, so this ends.  ``estimates`` must be cheap to read.
+    """
+    scratch = scratch or Scratch(values.sparkSession, "settle")
+    tag = f"{len(keys)}-{'-'.join(keys)}"
+    finite = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
+    seen, sure, step = certify(finite, estimates, keys, value, q, limit), [], 0
+    while True:
+        seen = scratch.save(seen, f"seen-{tag}-{step}")
+        sure.append(seen.where(F.col("rank_error") <= tolerance))
+        left = seen.where(F.col("rank_error") > tolerance)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, sure)
+        step += 1
+        if step % 2:
+            beside = F.when(F.col(q) * F.col("total") > F.col("at_or_below"), F.col("lifted")).otherwise(F.col("snapped"))
+            again = left.withColumn("estimate", F.coalesce(beside, F.col("estimate"))).select(*estimates.columns)
+        else:
+            delta *= FINER
+            groups = left.select(*keys).distinct()
+            fine = merge_digests(digest(values.join(small(groups), keys, "left_semi"), keys, value, delta), keys, delta)
+            again = quantiles(fine, keys, left.select([c for c in estimates.columns if c not in ("estimate", "total")]), keys, q).select(*estimates.columns)
+        seen = certify(finite, scratch.save(again, f"again-{tag}-{step}"), keys, value, q, limit)
+
+
+def certified_quantiles(
+    values: DataFrame,
+    keys: list[str],
+    value: str,
+    wanted: DataFrame,
+    on: list[str],
+    q: str = "q",
+    limit: Column | None = None,
+    least: int = 1,
+    delta: float = DELTA,
+    tolerance: float = 1.0,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """Digest, merge, estimate and certify, for groups of at least ``least`` values; no row has a ``rank_error`` above ``tolerance``, see :func:`settle`."""
     scratch = scratch or Scratch(values.sparkSession, "digests")
     merged = merge_digests(digest(values, keys, value, delta), keys, delta)
     estimates = scratch.save(quantiles(merged, keys, wanted, on, q).where(F.col("total") >= least), "estimates")
-    finite = values.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))
-    return certify(finite, estimates, keys, value, q, limit)
+    return settle(values, estimates, keys, value, tolerance, q, limit, delta, scratch)

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = table(spark, sf_dir, "mesh_groups").where("etype = 'SEG2' and group_name = 'node_match'").select("etype", "family").distinct()
     elements = table(spark, sf_dir, "mesh_elements").where("etype = 'SEG2'").select("etype", "family", "conn")
     ends = elements.join(families, ["etype", "family"], "left_semi").where(F.size("conn") == 2).select(F.col("conn")[0].alias("a"), F.col("conn")[1].alias("b"))
-    pairs = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = ends.where("a <> b").distinct()  # redelivered elements, combined before any join
     nodes = table(spark, sf_dir, "mesh_nodes").select("node_id").distinct()
     known = pairs.join(nodes, pairs.a == nodes.node_id, "left_semi").join(nodes, pairs.b == nodes.node_id, "left_semi")
     return components.connected_groups(known, scratch=scratch)
@@ -52,7 +52,8 @@ def _field_values(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFra
     """(etype, field_name, week_no, value), each element once."""
     e = table(spark, sf_dir, "mesh_elements").where("etype is not null and observed_at is not null")
     # Redelivered rows are equal in these columns; distinct() combines them before its shuffle.
-    week = F.expr("floor((unix_micros(cast(observed_at as timestamp)) - 1704067200000000) / 604800000000)")
+    # No time zone has a part in this: the column has none.
+    week = F.expr("floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(observed_at as timestamp_ntz)) / 604800000000)")
     once = e.select("elem_id", "etype", week.cast("long").alias("week_no"), *FIELDS).distinct().drop("elem_id")
     wide = scratch.save(once, "values")
     return wide.select("etype", "week_no", F.expr(f"stack({len(FIELDS)}, {', '.join(f"'{f}', {f}" for f in FIELDS)}) as (field_name, value)"))
@@ -62,27 +63,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "percentiles")
     values = _field_values(spark, sf_dir, scratch)
     limits = table(spark, sf_dir, "field_limits").select("etype", "field_name", "pct", "limit_value", (F.col("pct") / 100.0).alias("q")).distinct()
-    seen = digests.certified_quantiles(values, _KEYS, "value", limits, ["etype", "field_name"], limit=F.col("limit_value"), least=LEAST_VALUES, scratch=scratch)
-    # The estimate decides where its rank is certified; else the count at the limit does.
-    above = F.when(F.col("rank_error") <= RANK_TOLERANCE, F.coalesce("snapped", "estimate") > F.col("limit_value")).otherwise(F.col("within") * 100 < F.col("pct") * F.col("total"))
-    return seen.where(above).select(*_KEYS).distinct()
+    seen = digests.certified_quantiles(values, _KEYS, "value", limits, ["etype", "field_name"], least=LEAST_VALUES, tolerance=RANK_TOLERANCE, scratch=scratch)
+    return seen.where(F.coalesce("snapped", "estimate") > F.col("limit_value")).select(*_KEYS).distinct()
 
 
 def certified_weeks(values: DataFrame, scratch: Scratch) -> DataFrame:
     """(etype, field_name, week_no, pct, total, estimate, rank_error) of ``values``: quartiles of every week, and (week_no null) of all weeks together.
 
-    ``rank_error`` is counted over the values in a second pass, for the weeks together as well.
+    ``rank_error`` is counted over the values in a second pass, for the weeks together as well, and is at most ``RANK_TOLERANCE``.
     """
     group = ["etype", "field_name"]
     weekly = scratch.save(digests.merge_digests(digests.digest(values, _KEYS, "value"), _KEYS), "weekly")
     pcts = values.sparkSession.createDataFrame([(25, 0.25), (50, 0.5), (75, 0.75)], "pct int, q double")
     wanted = weekly.select(*group).distinct().crossJoin(F.broadcast(pcts))  # three rows
-    finite = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
     by_week = scratch.save(digests.quantiles(weekly, _KEYS, wanted, group), "by-week")
     together = scratch.save(digests.quantiles(digests.merge_digests(weekly, group), group, wanted, group), "together")
     columns = [*_KEYS, "pct", "total", "estimate", "rank_error"]
-    certain = digests.certify(finite, by_week, _KEYS, "value").select(*columns)
-    return certain.unionByName(digests.certify(finite, together, group, "value").withColumn("week_no", F.lit(None).cast("long")).select(*columns))
+    certain = digests.settle(values, by_week, _KEYS, "value", RANK_TOLERANCE, scratch=scratch).select(*columns)
+    combined = digests.settle(values, together, group, "value", RANK_TOLERANCE, scratch=scratch)
+    return certain.unionByName(combined.withColumn("week_no", F.lit(None).cast("long")).select(*columns))
 
 
 def p4_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +90,11 @@ def p4_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certified_weeks(_field_values(spark, sf_dir, scratch), scratch)
 
 
+def p4_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`p4_weeks` without the estimate, which differs from run to run within its error: how many values, and whether the error is within the tolerance."""
+    return p4_weeks(spark, sf_dir).select(*_KEYS, "pct", "total", (F.col("rank_error") <= RANK_TOLERANCE).alias("certified"))
+
+
 # -- p6: token ids -------------------------------------------------------------
 
 
@@ -114,7 +118,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.dealt_with(documents, areas, labels)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_weeks": p4_weeks, "p4_certified": p4_certified, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 # One reading of a record for DuckDB, whose expressions have no look-around: keys are marked first, then cut apart.
 _P2_KEYED = r"""
@@ -124,7 +128,7 @@ _P2_KEYED = r"""
     f as (
         select raw_id, mesh_id,
             regexp_replace(regexp_extract(s, '\x01cell[^a-z0-9]*type\x02([^\x01]*)', 1), '[^a-z0-9]', '', 'g') as cell,
-            list_transform(regexp_extract_all(regexp_extract(s, '\x01connectivity\x02([^\x01a-z]*)', 1), '[0-9]+'), x -> x::hugeint) as conn,
+            list_transform(regexp_extract_all(regexp_extract(s, '\x01connectivity\x02([^\x01a-z]*)', 1), '[0-9]+'), lambda x: x::hugeint) as conn,
             case when contains(s, chr(1) || 'family' || chr(2)) then coalesce(try_cast(regexp_extract(s, '\x01family\x02[^\x010-9+-]*([+-]?[0-9]+)', 1) as bigint)::varchar, '') end as family,
             case when contains(s, chr(1) || 'tag' || chr(2)) then regexp_replace(regexp_extract(s, '\x01tag\x02([^\x01]*)', 1), '[^a-z0-9]', '', 'g') end as tag
         from k),
@@ -139,6 +143,9 @@ _P4_VALUES = """
         from u where value is not null and isfinite(value))"""
 
 SQL = {
+    "p4_certified": _P4_VALUES
+    + """, w as (select etype, field_name, week_no, value from v union all select etype, field_name, null, value from v)
+        select etype, field_name, week_no, pct, count(*) as total, true as certified from w, (select unnest([25, 50, 75]) as pct) group by all""",
     "p1_found": """
         with recursive m as (
             select distinct least(e.conn[1], e.conn[2]) as a, greatest(e.conn[1], e.conn[2]) as b
