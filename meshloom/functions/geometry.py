@@ -36,6 +36,11 @@ def dot(u: Sequence[Column], v: Sequence[Column]) -> Column:
     return _sum([a * b for a, b in zip(u, v)])
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """``body`` over a struct of ``values``, each of which is computed once and stands once in the plan."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), F.lit(0))
+
+
 # -- distances, areas, volumes ----------------------------------------------------
 
 
@@ -156,14 +161,21 @@ def in_arc_polygon(px: Column, py: Column, points: Column) -> Column:
     """
 
     def between(a: Column, q: Column, b: Column) -> Column:
-        bulge = _side(q["x"], q["y"], a, b)
-        # Centre relative to a, from the chord c and the vector m to the arc's point.
-        cx, cy, mx, my = b["x"] - a["x"], b["y"] - a["y"], q["x"] - a["x"], q["y"] - a["y"]
-        cc, mm, turn = cx * cx + cy * cy, mx * mx + my * my, 2 * (cx * my - cy * mx)
-        ux, uy = (my * cc - cy * mm) / turn, (cx * mm - mx * cc) / turn
-        dx, dy = px - a["x"] - ux, py - a["y"] - uy
-        inside = (dx * dx + dy * dy < ux * ux + uy * uy) & (_side(px, py, a, b) * bulge > 0)
-        return F.when(F.abs(turn) < 1e-14, F.lit(False)).otherwise(inside)
+        # Relative to a: the chord c, the arc's point m, the point p; and from them the circle's centre u.
+        flat = {"cx": b["x"] - a["x"], "cy": b["y"] - a["y"], "mx": q["x"] - a["x"], "my": q["y"] - a["y"], "px": px - a["x"], "py": py - a["y"]}
+
+        def test(v: Column) -> Column:
+            cc, mm = v["cx"] * v["cx"] + v["cy"] * v["cy"], v["mx"] * v["mx"] + v["my"] * v["my"]
+            bulge = v["cx"] * v["my"] - v["cy"] * v["mx"]
+            centre = {"ux": (v["my"] * cc - v["cy"] * mm) / (2 * bulge), "uy": (v["cx"] * mm - v["mx"] * cc) / (2 * bulge)}
+
+            def held(u: Column) -> Column:
+                dx, dy = v["px"] - u["ux"], v["py"] - u["uy"]
+                return (dx * dx + dy * dy < u["ux"] * u["ux"] + u["uy"] * u["uy"]) & ((v["cx"] * v["py"] - v["cy"] * v["px"]) * bulge > 0)
+
+            return F.when(2 * F.abs(bulge) < 1e-14, F.lit(False)).otherwise(_let(centre, held))
+
+        return _let(flat, test)
 
     return _in_curved(px, py, points, between)
 
@@ -176,11 +188,14 @@ def in_bezier_polygon(px: Column, py: Column, points: Column) -> Column:
     """
 
     def between(a: Column, q: Column, b: Column) -> Column:
-        whole = _side(q["x"], q["y"], a, b)
-        v = _side(px, py, a, b) / whole
-        u = _side(px, py, b, q) / whole
-        w = 1 - u - v
-        return F.when(whole == 0, F.lit(False)).otherwise((v > 0) & (v * v < 4 * u * w))
+        sides = {"whole": _side(q["x"], q["y"], a, b), "v": _side(px, py, a, b), "u": _side(px, py, b, q)}
+
+        def test(s: Column) -> Column:
+            part = {"u": s["u"] / s["whole"], "v": s["v"] / s["whole"]}
+            below = lambda t: (t["v"] > 0) & (t["v"] * t["v"] < 4 * t["u"] * (1 - t["u"] - t["v"]))
+            return F.when(s["whole"] == 0, F.lit(False)).otherwise(_let(part, below))
+
+        return _let(sides, test)
 
     return _in_curved(px, py, points, between)
 
@@ -244,13 +259,16 @@ def segment_intersection(p1: Column, p2: Column, p3: Column, p4: Column) -> Colu
     Segments of no length meet nothing.  Tolerances grow with the longer
     segment.  Colinear segments are ordered on the axis along which p1-p2 is longer.
     """
-    v1, v2, v3 = sub(p2, p1, 2), sub(p4, p3, 2), sub(p3, p1, 2)
-    scale = F.greatest(*[F.abs(c) for c in [*v1, *v2]], F.lit(1.0))
-    eps = F.lit(64.0 * _EPSILON) * scale
-    c12, c31, c32 = cross(v1, v2)[0], cross(v3, v1)[0], cross(v3, v2)[0]
-    t, u = c32 / c12, c31 / c12
-    x, y = p1["x"] + t * v1[0], p1["y"] + t * v1[1]
-
+    d1, d2, d3 = sub(p2, p1, 2), sub(p4, p3, 2), sub(p3, p1, 2)
+    scale = F.greatest(*[F.abs(c) for c in [*d1, *d2]], F.lit(1.0))
+    facts = {
+        "eps": F.lit(64.0 * _EPSILON) * scale,
+        "c12": cross(d1, d2)[0],
+        "c31": cross(d3, d1)[0],
+        "c32": cross(d3, d2)[0],
+        "short": F.least(dot(d1, d1), dot(d2, d2)),
+        "wide": F.abs(d1[0]) >= F.abs(d1[1]),
+    }
     number = lambda c: (F.lit(None) if c is None else F.lit(c) if isinstance(c, int) else c).cast("int")
     out = lambda kind, a=None, b=None, px=None, py=None: F.struct(
         F.lit(kind).alias("kind"),
@@ -259,22 +277,30 @@ def segment_intersection(p1: Column, p2: Column, p3: Column, p4: Column) -> Colu
         (F.lit(None).cast("double") if px is None else px).alias("x"),
         (F.lit(None).cast("double") if py is None else py).alias("y"),
     )
-    near = lambda p: (p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y) < eps
-    apart = ~(t.between(0, 1) & u.between(0, 1))
-    single = F.when(apart, out("none")).when(near(p1), out("end", 1)).when(near(p2), out("end", 2)).when(near(p3), out("end", 3)).when(near(p4), out("end", 4)).otherwise(out("new", px=x, py=y))
-
-    wide = F.abs(v1[0]) >= F.abs(v1[1])
-    place = lambda p: F.when(wide, (p["x"] - p1["x"]) / v1[0]).otherwise((p["y"] - p1["y"]) / v1[1])
-    t3, t4 = place(p3), place(p4)
-    first, last = F.least(t3, t4), F.greatest(t3, t4)
-    lower, upper = F.when(t3 <= t4, 3).otherwise(4), F.when(t3 <= t4, 4).otherwise(3)
-    begin, end = F.when(first > 0, lower).otherwise(1), F.when(last < 1, upper).otherwise(2)
-    line = (
-        F.when((first > 1) | (last < 0), out("none"))
-        .when(first == 1, out("end", 2))
-        .when(last == 0, out("end", 1))
-        .otherwise(out("overlap", begin, end))
-    )
-    nothing = (dot(v1, v1) < eps) | (dot(v2, v2) < eps)
-    parallel = F.abs(c12) < eps
-    return F.when(nothing | (parallel & (F.abs(c31) > eps)), out("none")).when(parallel, line).otherwise(single)
+
+    def single(f: Column) -> Column:
+        def at(m: Column) -> Column:
+            near = lambda p: (p["x"] - m["x"]) * (p["x"] - m["x"]) + (p["y"] - m["y"]) * (p["y"] - m["y"]) < f["eps"]
+            apart = ~(m["t"].between(0, 1) & m["u"].between(0, 1))
+            return F.when(apart, out("none")).when(near(p1), out("end", 1)).when(near(p2), out("end", 2)).when(near(p3), out("end", 3)).when(near(p4), out("end", 4)).otherwise(out("new", px=m["x"], py=m["y"]))
+
+        t = f["c32"] / f["c12"]
+        return _let({"t": t, "u": f["c31"] / f["c12"], "x": p1["x"] + t * d1[0], "y": p1["y"] + t * d1[1]}, at)
+
+    def colinear(f: Column) -> Column:
+        place = lambda p: F.when(f["wide"], (p["x"] - p1["x"]) / d1[0]).otherwise((p["y"] - p1["y"]) / d1[1])
+
+        def along(m: Column) -> Column:
+            first, last = F.least(m["t3"], m["t4"]), F.greatest(m["t3"], m["t4"])
+            lower, upper = F.when(m["t3"] <= m["t4"], 3).otherwise(4), F.when(m["t3"] <= m["t4"], 4).otherwise(3)
+            begin, end = F.when(first > 0, lower).otherwise(1), F.when(last < 1, upper).otherwise(2)
+            return F.when((first > 1) | (last < 0), out("none")).when(first == 1, out("end", 2)).when(last == 0, out("end", 1)).otherwise(out("overlap", begin, end))
+
+        return _let({"t3": place(p3), "t4": place(p4)}, along)
+
+    def decide(f: Column) -> Column:
+        parallel = F.abs(f["c12"]) < f["eps"]
+        nothing = (f["short"] < f["eps"]) | (parallel & (F.abs(f["c31"]) > f["eps"]))
+        return F.when(nothing, out("none")).when(parallel, colinear(f)).otherwise(single(f))
+
+    return _let(facts, decide)

@@ -189,12 +189,12 @@ def geo_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PUSH = 1.25
 
 
-def _curved(test) -> F.Column:
-    mid = _middle()
-    bent = F.transform("points", lambda p, i: F.when(i < 3, F.struct(p["x"].alias("x"), p["y"].alias("y"))).otherwise(F.struct((mid["x"] + (p["x"] - mid["x"]) * _PUSH).alias("x"), (mid["y"] + (p["y"] - mid["y"]) * _PUSH).alias("y"))))
-    # Just outside of the straight edge, inside of the bent one.
-    px, py = mid["x"] + (_pt(3)["x"] - mid["x"]) * 1.05, mid["y"] + (_pt(3)["y"] - mid["y"]) * 1.05
-    return F.when(px.isNotNull() & py.isNotNull() & mid["x"].isNotNull() & mid["y"].isNotNull(), test(px, py, bent))
+def _curved(rows: DataFrame) -> DataFrame:
+    """With m, the middle, bent, the triangle, and p, a point just outside of a straight edge, inside of the bent one."""
+    rows = rows.withColumn("m", _middle())
+    push = lambda p, by: F.struct(*[(F.col("m")[a] + (p[a] - F.col("m")[a]) * by).alias(a) for a in "xy"])
+    bent = F.transform("points", lambda p, i: F.when(i < 3, p).otherwise(push(p, _PUSH)))
+    return rows.select("etype", "elem_id", bent.alias("bent"), push(_pt(3), 1.05).alias("p"))
 
 
 _BENT = f"""{POINTS}, m as (select etype, elem_id, xs, ys, {_CX} as mx, {_CY} as my from p2 where etype = 'TRI6' and len(list_filter(xs, lambda v: v is null)) = 0 and len(list_filter(ys, lambda v: v is null)) = 0),
@@ -207,7 +207,9 @@ _CURVED_SQL = "select etype, elem_id, value from (select etype, elem_id, (count(
 
 def _triangles(spark: SparkSession, sf_dir: str, test) -> DataFrame:
     mesh = space(spark, sf_dir, 2)
-    return mesh.with_points(mesh.block("TRI6")).select("etype", "elem_id", _curved(test).alias("value"))
+    p = F.col("p")
+    value = F.when(p["x"].isNotNull() & p["y"].isNotNull(), test(p["x"], p["y"], F.col("bent")))
+    return _curved(mesh.with_points(mesh.block("TRI6"))).select("etype", "elem_id", value.alias("value"))
 
 
 @plans.add(
