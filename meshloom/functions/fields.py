@@ -28,7 +28,7 @@ _INF, _NAN = float("inf"), float("nan")
 
 def ieee_divide(a: Column, b: Column) -> Column:
     """a / b, where a zero divisor gives an infinity, or NaN for 0 / 0 and NaN / 0."""
-    sign = F.signum(a) * F.signum(F.atan2(b, F.lit(-1.0)))  # atan2 tells 0.0 from -0.0
+    sign = F.signum(a) * F.when(b.cast("string") == "-0.0", -1.0).otherwise(1.0)  # no comparison tells 0.0 from -0.0
     by_zero = F.when(F.isnan(a) | (a == 0), F.lit(_NAN)).otherwise(sign * F.lit(_INF))
     return F.when(b == 0, by_zero).otherwise(a / b)
 
