@@ -89,6 +89,8 @@ def number_within_groups(df: DataFrame, keys: list[str], order: list[str], name:
     spark = df.sparkSession
     if clash := {_PART, _RUN, _POS, _EDGE, name} & set(df.columns):
         raise ValueError(f"the table already has columns {sorted(clash)}")
+    if name in (_PART, _RUN, _POS, _EDGE):
+        raise ValueError(f"{name!r} is taken")
     scratch = scratch or Scratch(spark, "numbering")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]

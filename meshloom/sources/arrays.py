@@ -23,16 +23,16 @@ def dense(mesh: Mesh) -> Mesh:
     An element with an unknown node is left out, as no file can hold it.  The old ids of elements are in ``orig_elem_id``.
     """
     scratch = Scratch(mesh.spark, "dense")
-    nodes = number_within_groups(mesh.nodes, [], ["node_id"], "__pos", scratch=Scratch(mesh.spark, "dense-nodes"))
+    nodes = number_within_groups(mesh.nodes, [], ["node_id"], "__dense", scratch=Scratch(mesh.spark, "dense-nodes"))
     e = mesh.elements
     one = e.select(*KEY, F.size("conn").alias("__n"), F.posexplode("conn").alias("__at", "node_id"))
-    ends = one.where(F.col("node_id") == etypes.FACE_END).withColumn("__pos", F.lit(etypes.FACE_END).cast("long")).select(*KEY, "__n", "__at", "__pos")
-    known = one.join(nodes.select("node_id", "__pos"), "node_id").select(*KEY, "__n", "__at", "__pos").unionByName(ends)
-    conn = known.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("__at", "__pos"))).alias("__c"), F.first("__n").alias("__n")).where(F.size("__c") == F.col("__n"))
-    moved = e.drop("conn").join(conn.select(*KEY, F.transform("__c", lambda s: s["__pos"]).alias("conn")), KEY)
+    ends = one.where(F.col("node_id") == etypes.FACE_END).withColumn("__dense", F.lit(etypes.FACE_END).cast("long")).select(*KEY, "__n", "__at", "__dense")
+    known = one.join(nodes.select("node_id", "__dense"), "node_id").select(*KEY, "__n", "__at", "__dense").unionByName(ends)
+    conn = known.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("__at", "__dense"))).alias("__c"), F.first("__n").alias("__n")).where(F.size("__c") == F.col("__n"))
+    moved = e.drop("conn").join(conn.select(*KEY, F.transform("__c", lambda s: s["__dense"]).alias("conn")), KEY)
     rows = number_within_groups(moved.select(*e.columns), ["etype"], ["elem_id"], "__new", scratch=scratch)
     rows = rows.withColumnRenamed("elem_id", "orig_elem_id").withColumnRenamed("__new", "elem_id")
-    fresh = nodes.drop("node_id").withColumnRenamed("__pos", "node_id").select(*mesh.nodes.columns)
+    fresh = nodes.drop("node_id").withColumnRenamed("__dense", "node_id").select(*mesh.nodes.columns)
     return Mesh(fresh, rows, mesh.groups)
 
 
