@@ -58,19 +58,30 @@ def found_in(text: str, items: tuple[tuple[int, str], ...], n: int = N_WORDS) ->
 
 
 def leaked(documents: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """(doc_id, item_id, word_no): the items with ``n`` words in a row in a document, and where the first such run starts in its words.
+    """(doc_id, item_id, word_no, start_at, end_at): the items with ``n`` words in a row in a document, and where the first such run stands.
 
-    Null texts have no words.  The items are read by the driver, up to a checked number of them.
+    ``word_no`` counts the words before it; ``start_at`` and ``end_at`` are character places in the text as it was
+    given, markup and all (an end beyond an entity or a letter that was rewritten is the start of that plus one).
+    Places are traced only in documents with an item.  Null texts have no words.
+    The items are read by the driver, up to a checked number of them.
     """
     rows = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items")
     known = tuple(sorted((r[0], r[1]) for r in rows))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("word_no", pa.int64())])
+    names = ["doc_id", "item_id", "word_no", "start_at", "end_at"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def rows_of(doc: int, text: str) -> list[tuple[int, ...]]:
+        found = found_in(text, known, n)
+        if not found:
+            return []
+        at = wikitext.placed_words(text)
+        return [(doc, item, k, at[k][1], at[k + n - 1][2]) for item, k in sorted(found.items())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(d, i, at) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for i, at in sorted(found_in(t, known, n).items())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*got, strict=True) if got else ([], [], []))], schema=schema)
+            got = [r for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for r in rows_of(d, t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * len(names))], schema=schema)
 
-    return documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, item_id long, word_no long")
+    return documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ", ".join(f"{c} long" for c in names))
