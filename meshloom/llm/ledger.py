@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,8 @@ BATCHES = 4
 FIELDS = {"cell_type": "cell[^a-z0-9]*type", "connectivity": "connectivity", "family": "family", "tag": "tag"}
 # Between a field's name and its value.
 _IS = r"[\"']?\s*(?:=>|->|:|=|\t)"
-
-
-def _key(pattern: str) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{pattern}){_IS}"
+# What marks a name's begin and end once names are found; records hold neither.
+_NAME, _VALUE = "\x01", "\x02"
 
 
 def canonical_record(record: Column) -> Column:
@@ -34,25 +33,36 @@ def canonical_record(record: Column) -> Column:
     A field's value runs to the name of the next field.  Cell type and tag keep
     their letters and digits in lower case, connectivity its integers in order,
     family its integer, leading zeros dropped.  An absent field is written
-    otherwise than a present but empty one.  Null, empty and damaged records give null.
+    otherwise than a present but empty one; of a field that comes twice the first counts.
+    Null, empty and damaged records give null.
     """
-    low = F.lower(record)
-    any_key = _key("|".join(FIELDS.values()))
-    value = lambda f, body: F.regexp_extract(low, rf"(?s){_key(FIELDS[f])}{body}", 1)
-    there = lambda f: low.rlike(_key(FIELDS[f]))
-    word = lambda f: F.regexp_replace(value(f, rf"(.*?)(?={any_key}|\z)"), r"[^\p{L}\p{N}]+", "")
+    # Names are marked in one pass; then each field is cut out between two marks.
+    any_name = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(FIELDS.values())}){_IS}"
+    low = F.translate(F.lower(record), _NAME + _VALUE, "  ")
+    marked = F.regexp_replace(low, any_name, f"{_NAME}$1{_VALUE}")
     whole = lambda c: F.regexp_replace(c, r"(?<![0-9])0+(?=[0-9])", "")
-    cell = word("cell_type")
-    nodes = F.regexp_extract_all(value("connectivity", r"([^\p{L}]*)"), F.lit(r"[0-9]+"), F.lit(0))
-    family = F.regexp_replace(whole(value("family", r"\s*[\"'(\[{<]?\s*([+-]?[0-9]+)")), r"^\+|^-(?=0$)", "")
-    text = F.concat_ws(
-        "\x1f",
-        cell,
-        whole(F.concat_ws(",", nodes)),
-        F.when(there("family"), F.concat(F.lit("f"), family)).otherwise(""),
-        F.when(there("tag"), F.concat(F.lit("t"), word("tag"))).otherwise(""),
-    )
-    return F.when(record.isNotNull() & (cell != "") & (F.size(nodes) > 0), text)
+
+    def fields(m: Column) -> Column:
+        value = lambda f, body: F.regexp_extract(m, rf"{_NAME}(?:{FIELDS[f]}){_VALUE}{body}", 1)
+        there = lambda f: m.rlike(rf"{_NAME}(?:{FIELDS[f]}){_VALUE}")
+        word = lambda f: F.regexp_replace(value(f, rf"([^{_NAME}]*)"), r"[^\p{L}\p{N}]+", "")
+        family = F.regexp_replace(whole(value("family", r"\s*[\"'(\[{<]?\s*([+-]?[0-9]+)")), r"^\+|^-(?=0$)", "")
+        return F.struct(
+            word("cell_type").alias("cell"),
+            F.regexp_extract_all(value("connectivity", r"([^\p{L}\x01]*)"), F.lit(r"[0-9]+"), F.lit(0)).alias("nodes"),
+            F.when(there("family"), F.concat(F.lit("f"), family)).otherwise("").alias("family"),
+            F.when(there("tag"), F.concat(F.lit("t"), word("tag"))).otherwise("").alias("tag"),
+        )
+
+    def text(f: Column) -> Column:
+        return F.when((f["cell"] != "") & (F.size(f["nodes"]) > 0), F.concat_ws("\x1f", f["cell"], whole(F.concat_ws(",", f["nodes"])), f["family"], f["tag"]))
+
+    return F.when(record.isNotNull(), once(once(marked, fields), text))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class Ledger:
@@ -182,8 +192,9 @@ class Ledger:
 
 def fingerprint(*parts: Column) -> Column:
     """SHA-256 over the parts, null kept apart from every text; null if the last part is null."""
-    text = F.concat_ws("\x1e", *[F.coalesce(p.cast("string"), F.lit("\x1d")) for p in parts])
-    return F.when(parts[-1].isNotNull(), F.unhex(F.sha2(text, 256)))
+    before = [F.coalesce(p.cast("string"), F.lit("\x1d")) for p in parts[:-1]]
+    digest = lambda last: F.when(last.isNotNull(), F.unhex(F.sha2(F.concat_ws("\x1e", *before, last), 256)))
+    return once(parts[-1].cast("string"), digest)
 
 
 def keyed_batches(records: DataFrame, record_id: str, key: Column, at: str, batches: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,7 +206,8 @@ def keyed_batches(records: DataFrame, record_id: str, key: Column, at: str, batc
     keyed = records.select(F.col(record_id).cast("long").alias("id"), key.alias("key"), time.alias("__at"))
     cuts = records.select(time.alias("t")).agg(F.percentile_approx("t", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     batch = sum((F.when(F.col("__at") > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
-    saved = scratch.save(keyed.where("key is not null").select("id", "key", batch.cast("int").alias("batch")), "keyed", partition_by=["batch"])
+    # Rows without a key are left out when the table is read: a filter here would have the key computed twice.
+    saved = scratch.save(keyed.select("id", "key", batch.cast("int").alias("batch")), "keyed", partition_by=["batch"]).where("key is not null")
     return saved, [saved.where(F.col("batch") == i).select("id", "key") for i in range(batches)]
 
 
