@@ -118,6 +118,11 @@ def dim_of(column: Column) -> Column:
     return _pick(lambda t: t.dim, column).cast("tinyint")
 
 
+def has_dim(column: Column, *dims: int) -> Column:
+    """Whether the type has one of the dimensions: a list of types, which a scan can use to skip files and row groups."""
+    return column.isin([t.name for t in TYPES.values() if t.dim in dims])
+
+
 def size_of(column: Column) -> Column:
     """Nodes of a regular type; null for a poly type."""
     return _pick(lambda t: t.n_nodes, column)

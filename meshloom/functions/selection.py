@@ -11,11 +11,12 @@ import math
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.etypes import FACE_END, etype
+from meshloom.etypes import FACE_END, etype, has_dim
 from meshloom.functions import geometry
 from meshloom.functions.fields import Field, Scope, compare
 
@@ -28,7 +29,7 @@ class Facts:
     """What predicates may use of a row."""
 
     scope: Scope
-    top_dim: Column
+    top_dim: int
     space_dim: int
     #: (x, y, z) structs of the nodes in order, if asked for.
     points: Column | None = None
@@ -47,6 +48,10 @@ class Selection(ABC):
     def test(self, facts: Facts) -> Column:
         """A boolean Column, never null."""
 
+    def keep(self, facts: Facts) -> Column:
+        """The same as a filter, which takes null for false: plain comparisons, that a scan can be given."""
+        return self.test(facts)
+
     def parts(self) -> tuple[Selection, ...]:
         return ()
 
@@ -86,7 +91,10 @@ class Types(Selection):
     names: tuple[str, ...]
 
     def test(self, facts: Facts) -> Column:
-        return _sure(F.col("etype").isin(list(self.names)))
+        return _sure(self.keep(facts))
+
+    def keep(self, facts: Facts) -> Column:
+        return F.col("etype").isin(list(self.names))
 
 
 @dataclass(frozen=True, eq=False)
@@ -94,7 +102,10 @@ class Dims(Selection):
     dims: tuple[int, ...]
 
     def test(self, facts: Facts) -> Column:
-        return _sure(F.col("dim").isin(list(self.dims)))
+        return _sure(self.keep(facts))
+
+    def keep(self, facts: Facts) -> Column:
+        return has_dim(F.col("etype"), *self.dims)
 
 
 @dataclass(frozen=True, eq=False)
@@ -105,12 +116,13 @@ class Ids(Selection):
     table: DataFrame | None = None
 
     def test(self, facts: Facts) -> Column:
+        return _sure(self.keep(facts))
+
+    def keep(self, facts: Facts) -> Column:
         if id(self) in facts.marks:
-            return _sure(facts.marks[id(self)])
-        out = F.lit(False)
-        for name, ids in (self.by_type or {}).items():
-            out = out | ((F.col("etype") == name) & F.col("elem_id").isin([int(i) for i in ids]))
-        return _sure(out)
+            return facts.marks[id(self)]
+        lists = [(F.col("etype") == name) & F.col("elem_id").isin([int(i) for i in ids]) for name, ids in (self.by_type or {}).items()]
+        return reduce(lambda a, b: a | b, lists) if lists else F.lit(False)
 
 
 @dataclass(frozen=True, eq=False)
@@ -172,7 +184,10 @@ class Family(Selection):
     number: int
 
     def test(self, facts: Facts) -> Column:
-        return _sure(F.col("family") == self.number)
+        return _sure(self.keep(facts))
+
+    def keep(self, facts: Facts) -> Column:
+        return F.col("family") == self.number
 
 
 class FieldCompare(Selection):
@@ -185,7 +200,10 @@ class FieldCompare(Selection):
         self.needs_points = a.needs_points or b.needs_points
 
     def test(self, facts: Facts) -> Column:
-        return _sure((F.col("dim") == facts.top_dim) & compare(self.op, self.a.lower(facts.scope), self.b.lower(facts.scope)))
+        return _sure(self.keep(facts))
+
+    def keep(self, facts: Facts) -> Column:
+        return has_dim(F.col("etype"), facts.top_dim) & compare(self.op, self.a.lower(facts.scope), self.b.lower(facts.scope))
 
 
 # -- algebra -----------------------------------------------------------------------
@@ -203,6 +221,9 @@ class And(_Two):
     def test(self, facts: Facts) -> Column:
         return self.a.test(facts) & self.b.test(facts)
 
+    def keep(self, facts: Facts) -> Column:
+        return self.a.keep(facts) & self.b.keep(facts)
+
     def conjuncts(self) -> list[Selection]:
         return [*self.a.conjuncts(), *self.b.conjuncts()]
 
@@ -211,6 +232,9 @@ class Or(_Two):
     def test(self, facts: Facts) -> Column:
         return self.a.test(facts) | self.b.test(facts)
 
+    def keep(self, facts: Facts) -> Column:
+        return self.a.keep(facts) | self.b.keep(facts)
+
 
 class Xor(_Two):
     def test(self, facts: Facts) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from meshloom.functions import geometry
 from meshloom.functions.fields import Field, Scope
 from meshloom.functions.selection import INLINE_IDS, Facts, Group, Ids, NodeIds, Selection
 from meshloom.operators.numbering import number_within_groups
-from meshloom.runtime import Scratch
+from meshloom.runtime import Scratch, partitions_for
 
 #: Columns of an element that are no fields.
 FIXED = ("etype", "etype_ord", "dim", "elem_id", "conn", "family")
@@ -28,7 +28,7 @@ SHOWN = 5
 def _conn_ok(conn: Column, etype: Column) -> Column:
     size = etypes.size_of(etype)
     whole = conn.isNotNull() & ~F.exists(conn, lambda n: n.isNull())
-    return etypes.ord_of(etype).isNotNull() & whole & (size.isNull() & (F.size(conn) > 0) | (F.size(conn) == size))
+    return etype.isin(list(etypes.TYPES)) & whole & (size.isNull() & (F.size(conn) > 0) | (F.size(conn) == size))
 
 
 class Mesh:
@@ -187,7 +187,7 @@ class Mesh:
         return etypes.step_dim(int(dim), 0)
 
     def of_dim(self, dim: int) -> DataFrame:
-        return self.elements.where(F.col("dim") == etypes.step_dim(int(dim), 0))
+        return self.elements.where(etypes.has_dim(F.col("etype"), etypes.step_dim(int(dim), 0)))
 
     def block(self, etype: str) -> DataFrame:
         return self.elements.where(F.col("etype") == etypes.etype(etype).name)
@@ -244,7 +244,7 @@ class Mesh:
         d = self._dim(dim)
         if name not in self.elements.columns:
             return None
-        of = self.elements.where(F.col("dim") == d)
+        of = self.elements.where(etypes.has_dim(F.col("etype"), d))
         lacking = of.groupBy("etype").agg(F.count(name).alias("n")).where("n = 0")
         if not lacking.isEmpty():
             return None
@@ -293,7 +293,7 @@ class Mesh:
 
     def _facts(self, rows: DataFrame, points: bool, top: int | None = None) -> tuple[DataFrame, Facts]:
         schema = self.elements.schema
-        d = F.lit(-1 if top is None else top)
+        d = -1 if top is None else top
         if not points:
             return rows, Facts(Scope(schema), d, self.space_dim)
         centre = geometry.centroid(F.col("__points"), self.space_dim)
@@ -307,7 +307,7 @@ class Mesh:
     def eval(self, expr: Field, dim: int | None = None) -> DataFrame:
         """(etype, elem_id, value) of an expression over one dimension, by default the highest."""
         d = self._dim(dim)
-        rows, facts = self._facts(self.elements.where(F.col("dim") == d), expr.needs_points, top=d)
+        rows, facts = self._facts(self.elements.where(etypes.has_dim(F.col("etype"), d)), expr.needs_points, top=d)
         return rows.select("etype", "elem_id", expr.column(facts.scope).alias("value"))
 
     # -- selection ----------------------------------------------------------------------
@@ -343,7 +343,7 @@ class Mesh:
             groups = {n: F.col(f"__g{k}") for k, n in enumerate(names)}
         rows, facts = self._facts(rows, any(leaf.needs_points for leaf in leaves), top)
         facts = Facts(facts.scope, facts.top_dim, facts.space_dim, facts.points, marks, groups)
-        return rows.where(reduce(lambda a, b: a & b, [p.test(facts) for p in parts])).select(*columns)
+        return rows.where(reduce(lambda a, b: a & b, [p.keep(facts) for p in parts])).select(*columns)
 
     def select_rows(self, expr: Selection) -> DataFrame:
         """The elements that satisfy ``expr``.
@@ -436,7 +436,7 @@ def running_sum(rows: DataFrame, order: str, value: Column, name: str, keys: Seq
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "sums")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(rows)
     cut = rows.withColumn("__v", value.cast("long")).repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
     saved = scratch.save(cut, "cut")
     sums = saved.groupBy("__part").agg(F.sum("__v").alias("s")).collect()  # one row a partition
@@ -444,8 +444,6 @@ def running_sum(rows: DataFrame, order: str, value: Column, name: str, keys: Seq
     for r in sorted(sums, key=lambda r: r[0]):
         before.append((r[0], total))
         total += r[1]
-    from pyspark.sql import Window
-
     carry = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))
     inside = F.sum("__v").over(Window.partitionBy("__part").orderBy(order))
     return saved.join(carry, "__part").withColumn(name, (inside + F.col("__before")).cast("long")).drop("__v", "__part", "__before")

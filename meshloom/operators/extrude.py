@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,9 @@ from meshloom import etypes
 from meshloom.functions.geometry import AXES
 from meshloom.mesh import Mesh
 
+#: Planes written into the plan; more are joined.
+INLINE_AXIS = 4_096
+
 # The type that each type becomes.
 BECOMES = {"VERTEX": "SEG2", "SEG2": "QUAD4", "QUAD4": "HEX8"}
 
@@ -22,14 +25,28 @@ def _axis(mesh: Mesh) -> str:
     return AXES[mesh.space_dim]
 
 
-def _planes(mesh: Mesh, coords: list[Column], planes: DataFrame, count: int) -> Mesh:
-    """The mesh between ``count`` copies of the nodes; ``planes`` (k, and what ``coords`` uses) has one row a copy."""
+def _copies(mesh: Mesh, rows: Sequence[tuple[float, ...]], coords: Callable[[Callable[[int], Column]], list[Column]]) -> DataFrame:
+    """The nodes once a plane, with k, its number; ``coords`` makes the coordinates from the values of its row."""
+    n = mesh.nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))))
+    if len(rows) <= INLINE_AXIS:
+        at = lambda c: F.get(F.array(*[F.lit(float(r[c])) for r in rows]), F.col("k"))
+    else:
+        names = ", ".join(f"__v{c} double" for c in range(len(rows[0])))
+        n = n.join(mesh.spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], f"k int, {names}"), "k")
+        at = lambda c: F.col(f"__v{c}")
+    spare = [c for c in mesh.nodes.columns if c not in ("node_id", *mesh.axes)]
+    return n.select("node_id", "k", *[c.alias(a) for a, c in zip(AXES, coords(at))], *spare)
+
+
+def _planes(mesh: Mesh, rows: Sequence[tuple[float, ...]], coords: Callable[[Callable[[int], Column]], list[Column]]) -> Mesh:
+    """The mesh between copies of the nodes, one a row; with a single row the flat mesh."""
+    count, copies = len(rows), _copies(mesh, rows, coords)
+    if count == 1:
+        return Mesh(copies.drop("k"), mesh.elements, mesh.groups)
     top = mesh.nodes.agg(F.max("node_id")).first()[0]
     step = 0 if top is None else top + 1
     per_type = mesh.elements.groupBy("etype").agg(F.max("elem_id")).collect()  # 17 rows at most
-    spare = [c for c in mesh.nodes.columns if c not in ("node_id", *mesh.axes)]
-    # One row a plane: as many as the list that the caller gave.
-    n = mesh.nodes.crossJoin(F.broadcast(planes)).select((F.col("node_id") + F.col("k") * step).alias("node_id"), *[c.alias(a) for a, c in zip(AXES, coords)], *spare)
+    n = copies.withColumn("node_id", F.col("node_id") + F.col("k") * step).drop("k")
 
     kind = F.col("etype")
     stride = F.lit(0).cast("long")
@@ -42,18 +59,12 @@ def _planes(mesh: Mesh, coords: list[Column], planes: DataFrame, count: int) ->
     lower = F.transform("conn", lambda i: i + F.col("k") * step)
     upper = F.transform("conn", lambda i: i + (F.col("k") + 1) * step)
     conn = F.concat(lower, F.when(kind == "SEG2", F.reverse(upper)).otherwise(upper))
-    layers = F.explode(F.sequence(F.lit(0), F.lit(count - 2))) if count > 1 else F.explode(F.array().cast("array<int>"))
+    layers = F.explode(F.sequence(F.lit(0), F.lit(count - 2)))
     e = mesh.elements.select("etype", "elem_id", "conn", "family", layers.alias("k")).select(new.alias("etype"), (F.col("elem_id") + F.col("k") * stride).alias("elem_id"), conn.alias("conn"), "family")
     kind = F.col("etype")
     return Mesh(n, e.select("etype", etypes.ord_of(kind).alias("etype_ord"), etypes.dim_of(kind).alias("dim"), "elem_id", "conn", "family"))
 
 
-def _flat(mesh: Mesh, coords: list[Column], planes: DataFrame) -> Mesh:
-    n = mesh.nodes.crossJoin(F.broadcast(planes))
-    spare = [c for c in mesh.nodes.columns if c not in ("node_id", *mesh.axes)]
-    return Mesh(n.select("node_id", *[c.alias(a) for a, c in zip(AXES, coords)], *spare), mesh.elements, mesh.groups)
-
-
 def extrude(mesh: Mesh, along: Sequence[float]) -> Mesh:
     """Along a new axis, a copy of the nodes at each value: VERTEX becomes SEG2, SEG2 QUAD4, QUAD4 HEX8; other types fail when read.
 
@@ -62,9 +73,7 @@ def extrude(mesh: Mesh, along: Sequence[float]) -> Mesh:
     axis = _axis(mesh)
     if not len(along):
         return mesh
-    planes = mesh.spark.createDataFrame([(k, float(v)) for k, v in enumerate(along)], "k int, at double")
-    coords = [F.col(a) for a in mesh.axes] + [F.col("at").alias(axis)]
-    return _flat(mesh, coords, planes) if len(along) == 1 else _planes(mesh, coords, planes, len(along))
+    return _planes(mesh, [(v,) for v in along], lambda at: [F.col(a) for a in mesh.axes] + [at(0).alias(axis)])
 
 
 def extrude_parallel(mesh: Mesh, along: Sequence[Sequence[float]]) -> Mesh:
@@ -74,10 +83,8 @@ def extrude_parallel(mesh: Mesh, along: Sequence[Sequence[float]]) -> Mesh:
     line = np.asarray(along, dtype=float).reshape(-1, d)
     if not len(line):
         return mesh
-    rows = [(k, *map(float, p - line[0])) for k, p in enumerate(line)]
-    planes = mesh.spark.createDataFrame([(*r[:-1], float(line[r[0], -1])) for r in rows], "k int, " + ", ".join(f"o{i} double" for i in range(d)))
-    coords = [F.col(a) + F.col(f"o{i}") for i, a in enumerate(mesh.axes)] + [F.col(f"o{d - 1}")]
-    return _flat(mesh, coords, planes) if len(line) == 1 else _planes(mesh, coords, planes, len(line))
+    rows = [(*(p - line[0])[:-1], p[-1]) for p in line]
+    return _planes(mesh, rows, lambda at: [F.col(a) + at(i) for i, a in enumerate(mesh.axes)] + [at(d - 1)])
 
 
 def rotation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,8 +123,6 @@ def extrude_curv(mesh: Mesh, along: Sequence[Sequence[float]]) -> Mesh:
             turn = rotation(before, ahead[k]) @ turn
             before = ahead[k]
         shift = centre + (p - line[0]) - turn @ centre
-        rows.append((k, *map(float, turn.ravel()), *map(float, shift)))
-    planes = mesh.spark.createDataFrame(rows, "k int, " + ", ".join([*[f"m{i}{j} double" for i in range(3) for j in range(3)], *[f"b{i} double" for i in range(3)]]))
+        rows.append((*turn.ravel(), *shift))
     old = [F.col("x"), F.col("y"), F.lit(float(line[0, 2]))]
-    coords = [F.col(f"m{i}0") * old[0] + F.col(f"m{i}1") * old[1] + F.col(f"m{i}2") * old[2] + F.col(f"b{i}") for i in range(3)]
-    return _flat(mesh, coords, planes) if len(line) == 1 else _planes(mesh, coords, planes, len(line))
+    return _planes(mesh, rows, lambda at: [at(3 * i) * old[0] + at(3 * i + 1) * old[1] + at(3 * i + 2) * old[2] + at(9 + i) for i in range(3)])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshloom.runtime import Scratch
+from meshloom.runtime import Scratch, partitions_for
 
 #: Columns that the operator adds while it works; inputs may not have them.
 _PART, _RUN, _POS, _EDGE = "__part", "__run", "__pos", "__edge"
@@ -84,7 +84,7 @@ def number_within_groups(df: DataFrame, keys: list[str], order: list[str], name:
     NaN.  Rows equal in keys and order all lie in one partition and are numbered
     in an arbitrary order: drop exact duplicates before.  Other columns are kept.
     An empty table gives an empty one.  ``partitions`` defaults to
-    ``spark.sql.shuffle.partitions``.
+    what the size of the tables read asks for, ``spark.sql.shuffle.partitions`` at least.
     """
     spark = df.sparkSession
     if clash := {_PART, _RUN, _POS, _EDGE, name} & set(df.columns):
@@ -92,7 +92,7 @@ def number_within_groups(df: DataFrame, keys: list[str], order: list[str], name:
     if name in (_PART, _RUN, _POS, _EDGE):
         raise ValueError(f"{name!r} is taken")
     scratch = scratch or Scratch(spark, "numbering")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(df)
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     schema = T.StructType([*df.schema.fields, T.StructField(_PART, T.IntegerType()), T.StructField(_RUN, T.LongType()), T.StructField(_POS, T.LongType()), T.StructField(_EDGE, T.ByteType())])
     numbered = scratch.save(df.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_runs(keys), schema), "numbered")

@@ -40,7 +40,7 @@ def measure(mesh: Mesh, dim: int | None = None) -> DataFrame:
     space (a hexahedron as its five tetrahedra); null for other types and for elements with an unknown node.  NaN coordinates give NaN.
     """
     d = mesh._dim(dim)
-    rows = mesh.with_points(mesh.elements.where(F.col("dim") == d))
+    rows = mesh.with_points(mesh.elements.where(etypes.has_dim(F.col("etype"), d)))
     return rows.select(*KEY, _measure(F.col("etype"), F.col("points"), mesh.space_dim).alias("value"))
 
 

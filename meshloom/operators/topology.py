@@ -66,7 +66,7 @@ def subentities(mesh: Mesh, src_dim: int | None = None, target_dim: int | None =
     """
     src, target = _dims(mesh, src_dim, target_dim)
     arrays, names = _patterns(src - target, F.col("conn"), F.col("etype"), src)
-    e = mesh.elements.where(F.col("dim") == src)
+    e = mesh.of_dim(src)
     one = e.select(element_key(F.col("etype_ord"), F.col("elem_id")).alias("elem_key"), "etype", "elem_id", names.alias("sub_etype"), F.posexplode(arrays).alias("pos", "sub_conn"))
     return one.withColumn("node_set", F.array_sort("sub_conn"))
 

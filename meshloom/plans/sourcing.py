@@ -62,8 +62,9 @@ def src_03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add("src_04", f"with {EL} select 'SEG2' as etype, count(*) + 1 as n_elements, max(elem_id) + 1 as elem_id, '11,12' as nodes, 7 as family from el where etype = 'SEG2'")
 def src_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh, (etype, new) = whole(spark, sf_dir).add_element("SEG2", [11, 12], family=7)
-    count = mesh.block(etype).agg(F.count("*").alias("n_elements"))
-    return mesh.element(etype, new).select("etype", "elem_id", joined(F.col("conn")).alias("nodes"), "family").crossJoin(F.broadcast(count))  # one row
+    assert mesh.element(etype, new).count() == 1
+    last = [F.max("elem_id").alias("elem_id"), F.max_by(joined(F.col("conn")), "elem_id").alias("nodes"), F.max_by("family", "elem_id").alias("family")]
+    return mesh.block(etype).groupBy("etype").agg(F.count("*").alias("n_elements"), *last)
 
 
 @plans.add("src_05", "with n as (select count(distinct node_id) as n, max(node_id) as m from mesh_nodes) select n + 2 as n_nodes, m + 2 as last_id from n")

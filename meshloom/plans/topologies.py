@@ -130,19 +130,16 @@ def agg_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     "agg_13",
     f"""with {EL}, t as (select distinct elem_id, etype, unnest(conn) as node_id from el where dim = 3),
     d as (select node_id, count(*) as n from t group by node_id)
-    select (select count(*) from (select distinct node_id from nd)) + (select sum(n - 1) from d where node_id in (select node_id from nd)) as n_nodes, (select count(*) from el) as n_elements, 0 as n_shared""",
+    select 'nodes' as what, (select count(*) from (select distinct node_id from nd)) + (select sum(n - 1)::bigint from d where node_id in (select node_id from nd)) as n
+    union all select 'elements', count(*) from el union all select 'shared', 0""",
 )
 def agg_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut along all faces, every solid has nodes of its own."""
-    mesh = Mesh(*_keyed_nodes(whole(spark, sf_dir)))
+    mesh = whole(spark, sf_dir)
     out = graph.crack(mesh, topology.descend(mesh), check=False)
     used = out.of_dim(3).select("etype", "elem_id", F.explode("conn").alias("node_id")).distinct().groupBy("node_id").agg(F.count("*").alias("n"))
-    nodes, elements, shared = out.nodes.agg(F.count("*").alias("n_nodes")), out.elements.agg(F.count("*").alias("n_elements")), used.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_shared"))
-    return nodes.crossJoin(F.broadcast(elements)).crossJoin(F.broadcast(shared))  # one row each
-
-
-def _keyed_nodes(mesh: Mesh) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return mesh.nodes, mesh.elements, mesh.groups
+    count = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count("nodes", out.nodes).unionByName(count("elements", out.elements)).unionByName(count("shared", used.where("n > 1")))
 
 
 # -- measures -------------------------------------------------------------------------------

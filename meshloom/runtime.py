@@ -19,6 +19,9 @@ HOT_ROWS = 200_000
 #: Most rows of a table that may be broadcast, and most bytes of them.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Bytes read (packed, as in Parquet) for each partition of a whole shuffle, and most such partitions.
+PARTITION_BYTES = 64 << 20
+MOST_PARTITIONS = 100_000
 #: Presumed bytes of a value, by type; WIDE for texts, arrays and structs.
 _WIDTH = {"boolean": 8, "byte": 8, "short": 8, "integer": 8, "long": 8, "float": 8, "double": 8, "date": 8, "timestamp": 8, "timestamp_ntz": 8}
 WIDE = 64
@@ -139,5 +142,15 @@ def lookup_join(big: DataFrame, lookup: DataFrame, key: str, weight: str, total:
     )
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of all rows of ``df``: the session's number, or more if the files and tables it reads ask for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # Files and tables know their size, and joins above would multiply them; local rows have none (the largest number stands for it).
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(s for s in sizes if s < 1 << 62)
+    return max(least, min(-(-read // PARTITION_BYTES), MOST_PARTITIONS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
