@@ -278,12 +278,14 @@ class Mesh:
     # -- geometry of elements -----------------------------------------------------------
 
     def with_points(self, elements: DataFrame | None = None, name: str = "points") -> DataFrame:
-        """``elements`` with an array of (x, y, z) structs, the nodes in order; null if a node is unknown.
+        """``elements`` (all with their fixed columns, if not given) with an array of (x, y, z) structs, the nodes in order; null if a node is unknown.
 
         Nodes are looked up one a row and brought together by element again.  A node
         with a third of all rows is split by Spark's adaptive skew join.
         """
-        e = self.elements if elements is None else elements
+        e = self.elements.select(*FIXED) if elements is None else elements
+        if name in e.columns:
+            raise ValueError(f"the elements have a column {name!r} already")
         xyz = F.struct(*[F.col(a).cast("double").alias(a) for a in self.axes])
         one = e.select(*KEY, F.size("conn").alias("__n"), F.posexplode("conn").alias("__pos", "node_id"))
         known = self.nodes.select("node_id", xyz.alias("__p"))

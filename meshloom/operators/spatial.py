@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom import etypes
 from meshloom.functions import geometry as g
-from meshloom.mesh import KEY, Mesh
+from meshloom.mesh import FIXED, KEY, Mesh
 from meshloom.operators.graph import star_components
 from meshloom.operators.nearby import finite, near_join, near_pairs
 from meshloom.runtime import Scratch
@@ -40,7 +40,7 @@ def measure(mesh: Mesh, dim: int | None = None) -> DataFrame:
     space (a hexahedron as its five tetrahedra); null for other types and for elements with an unknown node.  NaN coordinates give NaN.
     """
     d = mesh._dim(dim)
-    rows = mesh.with_points(mesh.elements.where(etypes.has_dim(F.col("etype"), d)))
+    rows = mesh.with_points(mesh.elements.select(*FIXED).where(etypes.has_dim(F.col("etype"), d)))
     return rows.select(*KEY, _measure(F.col("etype"), F.col("points"), mesh.space_dim).alias("value"))
 
 
@@ -86,29 +86,32 @@ def snap(subject: Mesh, reference: Mesh, eps: float = EPS) -> Mesh:
 def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node_id, kept_id): nodes in ascending order each take the nodes near them that no smaller one took.
 
-    Done in rounds over all nodes at once: a node without an undecided smaller neighbour
-    keeps itself, and its undecided neighbours are taken by the smallest such.  Well
-    separated clusters need one round; a chain in order of its ids one for
-    every two nodes.
+    A node stays unless a smaller one near it does.  That is settled in rounds over all nodes at once:
+    one without an undecided smaller neighbour stays, and its larger neighbours do not.
+    Then each of those goes to the smallest one near it that stays.  Well
+    separated clusters need one round; a chain in order of its ids one for every two nodes.
     """
     spark = pairs.sparkSession
-    left = scratch.save(pairs.select("id_a", "id_b"), "near-0")
-    done: list[DataFrame] = []
-    k = 0
+    near = scratch.save(pairs.select("id_a", "id_b"), "near-0")
+    left, k = near, 0
     while not left.isEmpty():
         k += 1
         nodes = left.select(F.col("id_a").alias("n")).unionByName(left.select(F.col("id_b").alias("n"))).distinct()
-        kept = nodes.join(left.select(F.col("id_b").alias("n")), "n", "left_anti")
-        taken = left.join(kept.withColumnRenamed("n", "id_a"), "id_a").groupBy("id_b").agg(F.min("id_a").alias("kept_id"))
-        new = scratch.save(kept.select(F.col("n").alias("node_id"), F.col("n").alias("kept_id")).unionByName(taken.select(F.col("id_b").alias("node_id"), "kept_id")), f"taken-{k}")
-        done.append(new)
-        out = new.select("node_id")
-        rest = left.join(out.withColumnRenamed("node_id", "id_a"), "id_a", "left_anti").join(out.withColumnRenamed("node_id", "id_b"), "id_b", "left_anti")
-        left = scratch.save(rest.select("id_a", "id_b"), f"near-{k}")
-        scratch.drop(f"near-{k - 1}")
-    if not done:
+        kept = scratch.save(nodes.join(left.select(F.col("id_b").alias("n")), "n", "left_anti"), f"kept-{k}")
+        out = kept.unionByName(left.join(kept.withColumnRenamed("n", "id_a"), "id_a").select(F.col("id_b").alias("n"))).distinct()
+        rest = left.join(out.withColumnRenamed("n", "id_a"), "id_a", "left_anti").join(out.withColumnRenamed("n", "id_b"), "id_b", "left_anti")
+        # A node may be left without a pair: all near it are taken, and it stays as far as it ever took part.
+        alone = nodes.join(out, "n", "left_anti").join(rest.select(F.col("id_a").alias("n")).unionByName(rest.select(F.col("id_b").alias("n"))), "n", "left_anti")
+        scratch.save(alone, f"alone-{k}")
+        before, left = k - 1, scratch.save(rest.select("id_a", "id_b"), f"near-{k}")
+        if before:
+            scratch.drop(f"near-{before}")
+    if not k:
         return spark.createDataFrame([], "node_id bigint, kept_id bigint")
-    return spark.read.parquet(*[scratch.path(f"taken-{i + 1}") for i in range(k)])
+    stay = spark.read.schema("n bigint").parquet(*[scratch.path(f"{name}-{i + 1}") for i in range(k) for name in ("kept", "alone")])
+    taken = near.join(stay.withColumnRenamed("n", "id_a"), "id_a").join(stay.withColumnRenamed("n", "id_b"), "id_b", "left_anti")
+    gone = taken.groupBy("id_b").agg(F.min("id_a").alias("kept_id")).select(F.col("id_b").alias("node_id"), "kept_id")
+    return gone.unionByName(stay.select(F.col("n").alias("node_id"), F.col("n").alias("kept_id")))
 
 
 def duplicates(mesh: Mesh, eps: float = EPS, strategy: str = "greedy") -> DataFrame:
@@ -153,7 +156,7 @@ def segment_crossings(mesh: Mesh, width: float | None = None) -> DataFrame:
         raise ValueError("the mesh must lie in two dimensions")
     scratch = Scratch(mesh.spark, "crossings")
     p, q = F.get("points", F.lit(0)), F.get("points", F.lit(1))
-    ends = mesh.with_points(mesh.block("SEG2")).select("elem_id", p.alias("p"), q.alias("q"))
+    ends = mesh.with_points(mesh.block("SEG2").select(*FIXED)).select("elem_id", p.alias("p"), q.alias("q"))
     known = [F.col(f"{e}.{a}") for e in "pq" for a in "xy"]
     box = [F.least("p.x", "q.x").alias("x0"), F.greatest("p.x", "q.x").alias("x1"), F.least("p.y", "q.y").alias("y0"), F.greatest("p.y", "q.y").alias("y1")]
     s = scratch.save(ends.where(finite(*known)).select("elem_id", "p", "q", *box), "segments")

@@ -211,11 +211,19 @@ _LINKED = f"""with recursive {_NEAR}, e as (select id_a as a, id_b as b from pr
 
 @plans.add("agg_18", f"{_LINKED} select node_id, kept_id from g")
 def agg_18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near nodes, chains included; the greedy rule is tested in tests/."""
+    """Groups of near nodes, chains included."""
     return spatial.duplicates(space(spark, sf_dir, 3), NEAR, strategy="component")
 
 
-@plans.add("agg_18_greedy")
+@plans.add(
+    "agg_18_greedy",
+    f"""with recursive {_NEAR}, sm as (select id_b as node_id, list(id_a) as smaller from pr group by id_b), al as (select id_a as node_id from pr union select id_b from pr),
+    od as (select node_id, coalesce(smaller, []::bigint[]) as smaller, row_number() over (order by node_id) as k from al left join sm using (node_id)),
+    st as (select 0::bigint as k, []::bigint[] as kept union all select od.k, case when list_has_any(st.kept, od.smaller) then st.kept else list_append(st.kept, od.node_id) end from st join od on od.k = st.k + 1),
+    la as (select kept from st order by k desc limit 1),
+    g as (select node_id, case when list_contains(kept, node_id) then node_id else list_min(list_filter(smaller, lambda i: list_contains(kept, i))) end as kept_id from od, la)
+    select node_id, kept_id from g where kept_id in (select kept_id from g where kept_id <> node_id)""",
+)
 def agg_18_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.duplicates(space(spark, sf_dir, 3), NEAR)
 

@@ -236,7 +236,7 @@ def cloud(spark, points):
     return Mesh(nodes).add_block("VERTEX", block(spark, [[i] for i in points]))
 
 
-@pytest.mark.parametrize("points", [{k: (0.3 * k, 0.0) for k in range(9)}, {k: (0.3 * (k * 5 % 9), 0.0) for k in range(9)}, {7: (0.0, 0.0), 3: (0.0, 0.0), 5: (0.2, 0.1), 1: (9.0, 9.0)}])
+@pytest.mark.parametrize("points", [{k: (0.3 * k, 0.0) for k in range(9)}, {k: (0.3 * (k * 5 % 9), 0.0) for k in range(9)}, {7: (0.0, 0.0), 3: (0.0, 0.0), 5: (0.2, 0.1), 1: (9.0, 9.0)}, {1: (0.0, 0.0), 2: (0.3, 0.0), 3: (0.6, 0.0), 4: (1.2, 0.0), 5: (0.9, 0.0)}])
 def test_duplicates(spark, points):
     mesh = cloud(spark, points)
     assert {r.node_id: r.kept_id for r in spatial.duplicates(mesh, 0.4).collect()} == greedy(points, 0.4)
@@ -244,13 +244,14 @@ def test_duplicates(spark, points):
     assert sorted((r.node_id, r.kept_id) for r in spatial.duplicates(mesh, 0.4, "component").collect()) == roots(pairs)
 
 
-def test_random_duplicates_and_merge(spark):
-    rng = random.Random(8)
-    points = {k: (rng.random(), rng.random(), 0.2 * rng.random()) for k in range(120)}
+@pytest.mark.parametrize("seed", [8, 9, 10])
+def test_random_duplicates_and_merge(spark, seed):
+    rng = random.Random(seed)
+    points = {k: (rng.random(), rng.random(), 0.2 * rng.random()) for k in rng.sample(range(1000), 150)}
     mesh = cloud(spark, points)
     want = greedy(points, 0.12)
     assert {r.node_id: r.kept_id for r in spatial.duplicates(mesh, 0.12).collect()} == want
-    assert conns(spatial.merge_nodes(mesh, 0.12), "VERTEX") == {i: [want.get(i, i)] for i in points}
+    assert conns(spatial.merge_nodes(mesh, 0.12), "VERTEX") == {k: [want.get(i, i)] for k, i in enumerate(points)}
     unused = Mesh(mesh.nodes)
     assert spatial.duplicates(unused, 0.12).count() == 0
     with pytest.raises(ValueError):
@@ -404,3 +405,14 @@ def test_segment_crossings(spark):
             want.add((a, b))
     for width in (None, 0.7, 50.0):
         assert {(r.id_a, r.id_b) for r in spatial.segment_crossings(mesh, width).collect()} == want
+
+
+def test_fields_may_have_any_name(spark):
+    mesh = grid(spark, [0, 1], [0, 1]).with_field("points", spark.createDataFrame([("QUAD4", 0, 2.0)], "etype string, elem_id bigint, value double"))
+    mesh = mesh.with_field("value", spark.createDataFrame([("QUAD4", 0, 3.0)], "etype string, elem_id bigint, value double"))
+    assert spatial.measure(mesh).first().value == 1.0 and spatial.centroids(mesh).first().x == 0.5
+    assert mesh.select_ids(sel.rect((0, 0), (1, 1))).count() == 1 and topology.descend(mesh).num_elements() == 4
+    named = spatial.measure_update(mesh, "points")
+    assert named.elements.first().points == 1.0 and named.elements.first().value == 3.0
+    with pytest.raises(ValueError):
+        mesh.with_points(mesh.elements)
