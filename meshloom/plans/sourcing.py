@@ -404,4 +404,28 @@ def scn_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(spark, sf_dir).elements.join(F.broadcast(table_of), "dim").select("etype", "elem_id", "below", "above")  # four rows
 
 
+@plans.add(
+    "stream_select",
+    f"with {EL} select distinct etype, elem_id, case when temperature is null then null when isnan(temperature) or isinf(temperature) then 'other' else floor(temperature * 2 * 1000 + 0.1237)::bigint::varchar end as doubled from el where (etype, family) in (select (etype, family) from mesh_groups where group_name in ('inlet', 'core')) and coalesce(not isnan(temperature) and temperature > 20, false) and dim = 3",
+)
+def stream_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements as a stream, selected and computed as they come, written, and read when all are through."""
+    from meshloom.streaming import eval_stream, select_stream
+
+    scratch = Scratch(spark, "stream")
+    src = table(spark, sf_dir, "mesh_elements")
+    groups = table(spark, sf_dir, "mesh_groups")
+    # A pattern, since the table may be a single file, while a stream reads folders.
+    stream = spark.readStream.schema(src.schema).parquet(f"{sf_dir}/mesh_elements.parque[t]")
+    chosen = select_stream(stream, (sel.group("inlet") | sel.group("core")) & (Field("temperature") > 20), top_dim=3, groups=groups)
+    out = eval_stream(chosen, "doubled", Field("temperature") * 2)
+    writer = out.writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(scratch.path("out"))
+    mesh = Mesh.clean(table(spark, sf_dir, "mesh_nodes"), rows, fields=["doubled"])
+    d = F.col("doubled")
+    value = F.when(F.isnan(d) | (F.abs(d) == float("inf")), "other").otherwise(F.floor(d * 1000 + 0.1237).cast("string"))
+    return mesh.elements.select("etype", "elem_id", value.alias("doubled"))
+
+
 QUERIES, SQL = plans.QUERIES, plans.SQL
