@@ -138,3 +138,24 @@ def test_tables_go_with_their_block(spark):
         at = s.root.removeprefix("file://")
         assert os.path.isdir(at)
     assert not os.path.exists(at)
+
+
+@pytest.mark.parametrize("name", ["a.yaml", "a.json", "a.vtu", "a.vtk", "a.vtkhdf"])
+def test_the_driver_holds_no_array(spark, name, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the whole mesh in the driver")
+
+    for what in ("to_arrays", "from_arrays", "load_bytes", "save_bytes"):
+        monkeypatch.setattr(files, what, refuse)
+    mesh = grid(spark, [k / 7 for k in range(61)], [float(k) for k in range(501)])
+    some = mesh.elements.where("elem_id % 3 = 0").select("elem_id", "conn").withColumn("conn", mesh.elements.conn)
+    mesh = mesh.add_block("PGON", some)
+    path = Scratch(spark, "t").path(name)
+    files.write(mesh, path)
+    back = files.read(spark, path)
+    assert back.nodes.count() == 61 * 501 and back.elements.count() == 40_000
+    differ = back.elements.where("etype = 'QUAD4'").select("elem_id", "conn").exceptAll(mesh.elements.where("etype = 'QUAD4'").select("elem_id", "conn"))
+    assert differ.isEmpty()
+    polygons = mesh.elements.where("etype = 'PGON'").selectExpr("elem_id div 3", "conn")
+    assert back.elements.where("etype = 'PGON'").select("elem_id", "conn").exceptAll(polygons).isEmpty()
+    assert back.nodes.select("node_id", "x", "y").exceptAll(mesh.nodes.select("node_id", "x", "y")).isEmpty()
