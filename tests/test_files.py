@@ -159,3 +159,21 @@ def test_the_driver_holds_no_array(spark, name, monkeypatch):
     polygons = mesh.elements.where("etype = 'PGON'").selectExpr("elem_id div 3", "conn")
     assert back.elements.where("etype = 'PGON'").select("elem_id", "conn").exceptAll(polygons).isEmpty()
     assert back.nodes.select("node_id", "x", "y").exceptAll(mesh.nodes.select("node_id", "x", "y")).isEmpty()
+
+
+def test_packed_chunks_are_read_by_slices(tmp_path):
+    import zlib
+
+    from meshloom.sources.parts import Numbers
+
+    v, at = np.arange(-50, 50, dtype="<i8"), tmp_path / "chunks"
+    packed = [zlib.compress(np.frombuffer(v[k : k + 40].tobytes(), np.uint8).reshape(-1, 8).T.tobytes()) for k in (0, 40)]
+    at.write_bytes(b"head" + b"".join(packed) + v[80:].tobytes())
+    numbers, p = Numbers(f"file:{at}", raw="<i8"), 4
+    for c in packed:
+        numbers.add((p, p + len(c), 40, [2, 1]))
+        p += len(c)
+    numbers.add((p, p + 160, 20))
+    assert numbers.part(0, 100, np.int64).tolist() == v.tolist() and numbers.part(35, 85, np.int64).tolist() == v[35:85].tolist()
+    with pytest.raises(ValueError):
+        numbers.part(0, 101)
